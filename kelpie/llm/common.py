@@ -244,6 +244,18 @@ def run_starts(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def repeated(keys: np.ndarray) -> np.ndarray:
+    """Which keys occur more than once."""
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    same = np.zeros(len(k), bool)
+    same[1:] = k[1:] == k[:-1]
+    same[:-1] |= same[1:]
+    out = np.empty(len(k), bool)
+    out[order] = same
+    return out
+
+
 def spans_union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs covered by half-open spans; touching spans are one run."""
     order = np.argsort(starts, kind="stable")

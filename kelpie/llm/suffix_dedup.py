@@ -137,17 +137,6 @@ def firsts(cols: list[np.ndarray]) -> np.ndarray:
     return first
 
 
-def repeated(keys: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
-    same = np.zeros(len(k), bool)
-    same[1:] = k[1:] == k[:-1]
-    same[:-1] |= same[1:]
-    out = np.empty(len(k), bool)
-    out[order] = same
-    return out
-
-
 def anchors_of(n_buckets: int, length: int):
     def run(batches):
         held: list[list[np.ndarray]] = []
@@ -156,7 +145,7 @@ def anchors_of(n_buckets: int, length: int):
             cols = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
             gone = np.zeros(len(cols[0]), np.uint8)
-            twice = np.flatnonzero(repeated(cols[0] ^ cols[1]))
+            twice = np.flatnonzero(c.repeated(cols[0] ^ cols[1]))
             gone[twice[~firsts([x[twice] for x in cols])]] = 1
             yield from c.route((cols[0] % np.uint64(n_buckets)).astype(np.int64), [*cols, gone])
 
@@ -182,7 +171,7 @@ def resolve(length: int):
         *cols, gone = c.unpack(c.blobs(table), TYPES)
         done = [x[gone == 1] for x in cols]
         keep = np.flatnonzero(gone == 0)
-        keep = keep[repeated(cols[0][keep])]
+        keep = keep[c.repeated(cols[0][keep])]
         cols = [x[keep] for x in cols]
         first = firsts(cols)
         heads = [x[first] for x in cols]
@@ -243,7 +232,7 @@ def pieces_of(n_buckets: int, length: int):
 def sort_pieces(length: int):
     def run(table: pa.Table) -> pa.Table:
         key = table.column("key").to_numpy()
-        table = table.take(pa.array(np.flatnonzero(repeated(key))))
+        table = table.take(pa.array(np.flatnonzero(c.repeated(key))))
         data, off = c.buffers(table.column("body"))
         n = len(off) - 1
         # A mark ends each piece, so no string of full length crosses two.
