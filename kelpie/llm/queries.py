@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kelpie.llm import mixing, sharding, substring_dedup
+from kelpie.llm.simhash_dedup import simhash_dedup
 from kelpie.llm.suffix_dedup import suffix_dedup
 
 
@@ -17,8 +19,32 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(table(spark, sf_dir, "documents"))
+
+
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op4_rendezvous_sharding": op4_rendezvous_sharding,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op8_source_mixing": op8_source_mixing,
+    "op9_simhash_dedup": op9_simhash_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_rendezvous_sharding": sharding.ORACLE_SQL,
+    "op5_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op8_source_mixing": mixing.ORACLE_SQL,
+}
