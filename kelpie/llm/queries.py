@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpie.llm import mixing, sharding, substring_dedup
+from kelpie.llm import embedding_dedup, language_id, mixing, sharding, substring_dedup
 from kelpie.llm.simhash_dedup import simhash_dedup
 from kelpie.llm.suffix_dedup import suffix_dedup
 
@@ -27,6 +27,14 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
@@ -39,6 +47,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op4_rendezvous_sharding": op4_rendezvous_sharding,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
+    "op7_language_id": op7_language_id,
     "op8_source_mixing": op8_source_mixing,
     "op9_simhash_dedup": op9_simhash_dedup,
 }
@@ -46,5 +56,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op4_rendezvous_sharding": sharding.ORACLE_SQL,
     "op5_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op6_embedding_near_dedup": embedding_dedup.ORACLE_SQL,
     "op8_source_mixing": mixing.ORACLE_SQL,
 }
