@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpie.llm import embedding_dedup, language_id, mixing, sharding, substring_dedup
+from kelpie.llm import decontamination, embedding_dedup, language_id, mixing, sharding, substring_dedup
 from kelpie.llm.simhash_dedup import simhash_dedup
 from kelpie.llm.suffix_dedup import suffix_dedup
 
@@ -43,6 +43,10 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op4_rendezvous_sharding": op4_rendezvous_sharding,
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_source_mixing": op8_source_mixing,
     "op9_simhash_dedup": op9_simhash_dedup,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
