@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpie.llm import decontamination, embedding_dedup, language_id, mixing, quality, sharding, substring_dedup
+from kelpie.llm import decontamination, embedding_dedup, language_id, mixing, pii, quality, sharding, substring_dedup
 from kelpie.llm.simhash_dedup import simhash_dedup
 from kelpie.llm.suffix_dedup import suffix_dedup
 
@@ -19,6 +19,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,6 +57,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_pii_bootstrap": op2_pii_bootstrap,
     "op3_importance_resampling": op3_importance_resampling,
     "op4_rendezvous_sharding": op4_rendezvous_sharding,
     "op5_substring_dedup": op5_substring_dedup,
