@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpie.llm import common as c
@@ -184,3 +184,13 @@ def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
     out = rows.join(named, "fp")
     back = lambda x: F.when(F.col(x) != c.NULL_ID, F.col(x))
     return out.select(back("did").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), back("component").alias("component_id"), (F.col("did") == F.col("component")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """The rows of docs, with their columns, that are of the least doc_id of their component; of rows of one doc_id, one."""
+    rows, named = simhash_classes(docs, shingle, radius, blocks)
+    best = rows.join(named, "fp").filter(F.col("did") == F.col("component")).select(F.col("did").alias("_did"))
+    keyed = docs.withColumn("_did", F.coalesce(F.col("doc_id").cast("long"), F.lit(c.NULL_ID)))
+    # Partitioned as the join is, so this costs a sort and no exchange.
+    of_id = Window.partitionBy("_did").orderBy(F.xxhash64("text"))
+    return keyed.join(best, "_did", "left_semi").withColumn("_row", F.row_number().over(of_id)).filter("_row = 1").select(*docs.columns)
