@@ -1,7 +1,8 @@
 """Quality selection by importance resampling.
 
-Two bag-of-n-gram models over ``BUCKETS`` hashed buckets are counted over all documents: one of the target (documents
-labelled of quality 1) and one of the raw text (all documents). A document's log importance weight is the sum, over its
+Two bag-of-n-gram models over ``BUCKETS`` hashed buckets are counted in one scan: one of the raw text (all documents) and
+one of the target (documents labelled of quality 1: all of them, or the ``TARGET_ROWS`` of least hash of their doc_id where
+there are more, so that their ids are a bounded list and no text is shuffled to meet its label). A document's log importance weight is the sum, over its
 words and pairs of neighbouring words, of the log ratio of the two. Without replacement, the sample is the top k of log
 weight plus Gumbel noise; the noise is a hash of a seed and the doc_id, so reruns agree. k is ``fraction`` of the rows; by
 default the share of quality 1 among labelled documents.
@@ -26,6 +27,8 @@ from kelpie.llm.decontamination import PLAIN
 from kelpie.llm.sharding import hashed
 
 BUCKETS = 1 << 16
+#: Most labelled rows that the target model is fitted on.
+TARGET_ROWS = 20_000
 SMOOTH = 1.0
 SEED = "resample-1"
 BINS, EXACT = 4096, 1000
@@ -46,16 +49,16 @@ def features(data: np.ndarray, off: np.ndarray, buckets: int) -> tuple[np.ndarra
     return (np.concatenate([h, both, edges]) % np.uint64(buckets)).astype(np.int64), np.concatenate([doc, doc[pair], doc[pair]])
 
 
-def count_features(buckets: int):
-    """Rows (bucket, raw, target): counts of one task."""
+def count_features(buckets: int, ids):
+    """Rows (bucket, raw, target): counts of one task. ids: the sorted ids of the target."""
 
     def run(batches):
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        raw, target, known = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64), ids.value
         for batch in batches:
             for part in c.slices(batch):
                 bucket, doc = features(*c.buffers(part.column("text")), buckets)
                 raw += np.bincount(bucket, minlength=buckets)
-                wanted = part.column("wanted").to_numpy(zero_copy_only=False).astype(bool)
+                wanted = np.isin(part.column("did").to_numpy(zero_copy_only=False), known)
                 target += np.bincount(bucket[wanted[doc]], minlength=buckets)
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
@@ -97,14 +100,15 @@ def kth_largest(keys: DataFrame, k: int) -> float:
     return high
 
 
-def resample(docs: DataFrame, labels: DataFrame, fraction: float | None = None, buckets: int = BUCKETS, seed: str = SEED) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, fraction: float | None = None, buckets: int = BUCKETS, target_rows: int = TARGET_ROWS, seed: str = SEED) -> DataFrame:
     """One row per row of docs: doc_id, log_weight, score (mean over features, squashed to 0-1), key, selected."""
     spark = docs.sparkSession
     c.prepare(spark)
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("did")).agg((F.max("quality") == 1).alias("wanted"))
     rows = docs.select(c.doc_key(), c.whole_text())
-    flagged = rows.join(known, "did", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
-    counted = flagged.mapInArrow(count_features(buckets), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # at most one row per bucket
+    chosen = known.filter("wanted").select("did", F.xxhash64("did", F.lit(seed)).alias("h")).orderBy("h", "did").limit(target_rows).select("did").toArrow()
+    ids = spark.sparkContext.broadcast(np.sort(chosen.column("did").to_numpy()))
+    counted = rows.mapInArrow(count_features(buckets, ids), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # at most one row per bucket
     raw, target = np.zeros(buckets), np.zeros(buckets)
     at = counted.column("bucket").to_numpy()
     raw[at], target[at] = counted.column("raw").to_numpy(), counted.column("target").to_numpy()
