@@ -80,7 +80,9 @@ def learn(docs: DataFrame, rows_each: int = TRAIN_ROWS) -> tuple[list[str], np.n
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     there = labelled.groupBy("lang").agg(F.count("*").alias("there"))
     coin = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 20))
-    sample = labelled.join(there, "lang").filter(coin * F.col("there") < F.lit(rows_each << 20)).select("lang", spaced())
+    # Chosen on ids alone. About rows_each of each language, so the list is broadcast and no text is shuffled.
+    ids = labelled.select("doc_id", "lang").join(there, "lang").filter(coin * F.col("there") < F.lit(rows_each << 20)).select("doc_id").distinct()
+    sample = labelled.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", spaced())
     counted = sample.mapInArrow(count_grams, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = counted.toArrow()  # at most languages x 65,536 rows
     names = table.column("lang").to_pylist()

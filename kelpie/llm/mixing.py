@@ -23,6 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelpie.llm import common as c
 from kelpie.llm.sharding import hashed
 
 WEIGHTS = (5, 2, 1)
@@ -55,9 +56,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
 def plan_copies(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
     """docs with size, source_size, target, rate and copies: how often the mix holds each row."""
     sized = docs.withColumn("size", F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"))
-    targets = source_targets(sized.select("source", "size"), weights, share, cap).withColumnRenamed("source", "_source")
+    # A table of its own, so that its size is known before the join is planned: one row per source is broadcast if it is under
+    # the session's limit, and no text is shuffled; beyond it the join is shuffled and hot sources are split.
+    targets = c.stage(source_targets(sized.select("source", "size"), weights, share, cap).withColumnRenamed("source", "_source"))
     coin = (hashed(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))) + F.lit(0.5)) / F.lit(float(2**52))
-    # The side of targets has one row per source; AQE broadcasts it if its measured size allows, else it splits hot sources.
     joined = sized.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     return joined.withColumn("copies", (F.floor("rate") + F.when(coin < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
 
