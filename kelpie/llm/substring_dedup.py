@@ -33,7 +33,7 @@ from kelpie.llm import common as c
 
 LENGTH, PERIOD, COVER = 13, 7, (0, 1, 3)
 FLUSH = 1 << 20
-TYPES = ["u8", "u8", "i8", "u2", "u4", "u1"]
+TYPES = ["u4", "u2", "u4", "u2", "i8", "u2", "u4", "u1"]
 FOUND = "did long, tag int, lo int, hi int, need boolean"
 
 
@@ -83,7 +83,8 @@ def anchors_of(n_buckets: int, length: int, period: int, cover: tuple[int, ...])
             gone = np.zeros(len(cols[0]), np.uint8)
             twice = np.flatnonzero(c.repeated(cols[1]))
             gone[twice[~of_least([cols[1][twice], cols[0][twice]], cols[2][twice])]] = 1
-            yield from c.route((cols[0] % np.uint64(n_buckets)).astype(np.int64), [*cols, gone])
+            # The bucket tells the remainder of the gram's hash, so 48 bits of the quotient are kept; of the surroundings, 48.
+            yield from c.route((cols[0] % np.uint64(n_buckets)).astype(np.int64), [*c.narrow(cols[0] // np.uint64(n_buckets)), *c.narrow(cols[1]), *cols[2:], gone])
 
         for batch in batches:
             for part in c.slices(batch):
@@ -102,7 +103,8 @@ def anchors_of(n_buckets: int, length: int, period: int, cover: tuple[int, ...])
 
 def resolve(period: int):
     def run(table: pa.Table) -> pa.Table:
-        *cols, gone = c.unpack(c.blobs(table), TYPES)
+        g1, g2, a1, a2, *cols, gone = c.unpack(c.blobs(table), TYPES)
+        cols = [c.widen(g1, g2), c.widen(a1, a2), *cols]
         done = [x[gone == 1] for x in cols]
         keep = np.flatnonzero(gone == 0)
         keep = keep[c.repeated(cols[0][keep])]
@@ -147,7 +149,7 @@ def windows_of(n_buckets: int, length: int, period: int):
 
 
 def resolve_windows(table: pa.Table) -> pa.Table:
-    h, h2, did, tag, at = c.unpack(c.blobs(table), TYPES[:5])
+    h, h2, did, tag, at = c.unpack(c.blobs(table), ["u8", "u8", "i8", "u2", "u4"])
     keep = np.flatnonzero(c.repeated(h))
     h, h2, did, tag, at = (x[keep] for x in (h, h2, did, tag, at))
     later = ~of_least([h2, h], did)

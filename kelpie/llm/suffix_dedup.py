@@ -21,7 +21,7 @@ How it is spread
 Defined cases
     null or short text: nothing removed. Null doc_id: the largest id. Rows with the same doc_id and text are one document
     and get the same result each; rows of one doc_id with different texts are ordered by a hash of the text.
-    Hashes that decide are 64 bits of the anchor and 64 of the surroundings together.
+    Hashes that decide are at least 48 bits of the anchor, those its bucket tells, and 48 of the surroundings together.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from kelpie.llm import common as c
 
 LENGTH = 100
 FLUSH = 1 << 20
-TYPES = ["u8", "u8", "i8", "u2", "u4", "u1"]
+TYPES = ["u4", "u2", "u4", "u2", "i8", "u2", "u4", "u1"]
 FOUND = "did long, tag int, lo int, hi int, need boolean"
 
 
@@ -147,7 +147,8 @@ def anchors_of(n_buckets: int, length: int):
             gone = np.zeros(len(cols[0]), np.uint8)
             twice = np.flatnonzero(c.repeated(cols[0] ^ cols[1]))
             gone[twice[~firsts([x[twice] for x in cols])]] = 1
-            yield from c.route((cols[0] % np.uint64(n_buckets)).astype(np.int64), [*cols, gone])
+            # The bucket tells the remainder of the gram's hash, so 48 bits of the quotient are kept; of the surroundings, 48.
+            yield from c.route((cols[0] % np.uint64(n_buckets)).astype(np.int64), [*c.narrow(cols[0] // np.uint64(n_buckets)), *c.narrow(cols[1]), *cols[2:], gone])
 
         for batch in batches:
             for part in c.slices(batch):
@@ -168,7 +169,8 @@ def resolve(length: int):
     reach = length - length // 2
 
     def run(table: pa.Table) -> pa.Table:
-        *cols, gone = c.unpack(c.blobs(table), TYPES)
+        g1, g2, a1, a2, *cols, gone = c.unpack(c.blobs(table), TYPES)
+        cols = [c.widen(g1, g2), c.widen(a1, a2), *cols]
         done = [x[gone == 1] for x in cols]
         keep = np.flatnonzero(gone == 0)
         keep = keep[c.repeated(cols[0][keep])]
