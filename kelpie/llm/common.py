@@ -88,6 +88,11 @@ def whole_text() -> Column:
     return F.coalesce(F.col("text"), F.lit("")).alias("text")
 
 
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """Each row as one structure beside the columns that an operator works with, so that names cannot clash; unpack with ``row.*``."""
+    return docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"), *more)
+
+
 def text_tag() -> Column:
     """16 bits of the text's hash: keeps rows of one doc_id but of different texts apart."""
     return F.pmod(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), F.lit(65536)).cast("int").alias("tag")

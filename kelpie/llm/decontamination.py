@@ -188,6 +188,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of docs, with their columns, that no item overlaps."""
     # A table of its own, so that its size decides between a broadcast and a shuffle before texts are moved.
-    leaks = c.stage(find_leaks(docs, benchmark, **how).select(F.col("did").alias("_did"), F.col("tag").alias("_tag")).distinct())
-    keyed = docs.withColumns({"_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(c.NULL_ID)), "_tag": F.pmod(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), F.lit(65536)).cast("int")})
-    return keyed.join(leaks, ["_did", "_tag"], "left_anti").select(*docs.columns)
+    leaks = c.stage(find_leaks(docs, benchmark, **how).select("did", "tag").distinct())
+    return c.packed(docs, c.doc_key(), c.text_tag()).join(leaks, ["did", "tag"], "left_anti").select("row.*")

@@ -177,7 +177,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5, rows_each: int = TRAIN_
     spark = docs.sparkSession
     c.prepare(spark)
     langs, model = learn(docs, rows_each)
-    packed = docs.select(F.struct(*docs.columns).alias("row"), spaced(), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
+    packed = c.packed(docs, spaced(), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
     schema = T.StructType([packed.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     judged = packed.mapInArrow(predict_with(langs, spark.sparkContext.broadcast(model)), schema)
     return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")

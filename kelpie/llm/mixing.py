@@ -66,8 +66,8 @@ def plan_copies(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float
 
 def mix_sources(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: the rows of docs, each as often as planned."""
-    planned = plan_copies(docs, **how).filter("copies > 0")
-    return planned.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    planned = plan_copies(c.packed(docs, F.col("doc_id"), F.col("source"), F.col("text")), **how).filter("copies > 0")
+    return planned.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:

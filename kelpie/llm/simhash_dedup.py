@@ -189,8 +189,8 @@ def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """The rows of docs, with their columns, that are of the least doc_id of their component; of rows of one doc_id, one."""
     rows, named = simhash_classes(docs, shingle, radius, blocks)
-    best = rows.join(named, "fp").filter(F.col("did") == F.col("component")).select(F.col("did").alias("_did"))
-    keyed = docs.withColumn("_did", F.coalesce(F.col("doc_id").cast("long"), F.lit(c.NULL_ID)))
+    best = rows.join(named, "fp").filter(F.col("did") == F.col("component")).select("did")
     # Partitioned as the join is, so this costs a sort and no exchange.
-    of_id = Window.partitionBy("_did").orderBy(F.xxhash64("text"))
-    return keyed.join(best, "_did", "left_semi").withColumn("_row", F.row_number().over(of_id)).filter("_row = 1").select(*docs.columns)
+    of_id = Window.partitionBy("did").orderBy(F.xxhash64("row.text"))
+    kept = c.packed(docs, c.doc_key()).join(best, "did", "left_semi").withColumn("place", F.row_number().over(of_id))
+    return kept.filter("place = 1").select("row.*")

@@ -264,3 +264,27 @@ def test_pipeline_stages_keep_columns(spark):
 
 def test_every_operator_is_registered():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
+
+
+CLASHING = "doc_id long, text string, lang string, source string, did long, tag int, row string, size long, rate double, copies int, target double, _part int, _row int, letter string, base string, wanted int, item int, k1 long, place int"
+
+
+def test_clashing_columns_and_empty_tables(spark):
+    from kelpie.llm import simhash_dedup, substring_dedup, suffix_dedup
+
+    rest = (7, 7, "r", 7, 7.0, 7, 7.0, 7, 7, "l", "b", 7, 7, 7, 7)
+    rows = [(1, "the and of to", "en", "a", *rest), (1, "the and of to", "en", "a", *rest), (None, None, None, None, *rest), (2, "", "en", None, *rest), (3, "le les des une", "fr", "b", *rest)]
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, None, None), (1, 0, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "nothing of the kind")], "item_id long, text string")
+    for n in (len(rows), 0):
+        df = spark.createDataFrame(rows[:n], CLASHING)
+        assert pii.pii_digest(df).count() == n
+        assert quality.resample(df, labels).count() == n
+        assert sharding.shard_documents(df).count() == n
+        assert language_id.identify(df).count() == n
+        assert mixing.mix_digest(df).count() == n
+        assert decontamination.decontaminate(df, bench).count() == n
+        assert suffix_dedup.suffix_dedup(df).count() == substring_dedup.substring_dedup(df).count() == simhash_dedup.simhash_dedup(df).count() == n
+        for kept in (language_id.keep_identified(df), simhash_dedup.keep_one(df), decontamination.keep_clean(df, bench), mixing.mix_sources(df)):
+            assert kept.columns == df.columns
+            assert all(r.size == 7 and r.row == "r" and r.did == 7 for r in kept.collect())
