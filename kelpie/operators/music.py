@@ -12,30 +12,27 @@ MAJOR = (6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88)
 MINOR = (6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17)
 
 
-def _pearson(chroma, profile: tuple[float, ...]):
-    """Correlation of a column of twelve numbers with fixed numbers."""
-    n = len(profile)
-    mean = sum(profile) / n
-    centred = [p - mean for p in profile]
-    norm = sum(p * p for p in centred) ** 0.5
-    top = sum(F.get(chroma, F.lit(i)) * p for i, p in enumerate(centred))
-    total = sum(F.get(chroma, F.lit(i)) for i in range(n))
-    square = sum(F.get(chroma, F.lit(i)) * F.get(chroma, F.lit(i)) for i in range(n))
-    spread = F.sqrt(F.greatest(square - total * total / n, F.lit(0.0)))
-    return F.when(spread > 0, top / (spread * norm))
+def _centred(profile: tuple[float, ...]) -> list[float]:
+    """A profile less its mean, of length one."""
+    mean = sum(profile) / len(profile)
+    norm = sum((p - mean) ** 2 for p in profile) ** 0.5
+    return [(p - mean) / norm for p in profile]
 
 
 def key_of(df: DataFrame, chroma: str, margin: float = 0.05) -> DataFrame:
     """df with tonic, mode, r and confidence: the best of 24 rotated profiles, no row multiplied."""
     tries = []
-    for mode, profile in (("major", MAJOR), ("minor", MINOR)):
+    for mode, profile in (("major", _centred(MAJOR)), ("minor", _centred(MINOR))):
         for k in range(12):
-            turned = tuple(profile[(i - k) % 12] for i in range(12))
-            r = _pearson(F.col(chroma), turned)
-            tries.append(F.struct((-F.round(r, 9)).alias("o"), F.lit(mode).alias("mode"), F.lit(k).alias("k"), r.alias("r")))
-    x = df.withColumn("_t", F.array_sort(F.filter(F.array(*tries), lambda v: v["r"].isNotNull())))
+            turned = ", ".join(f"{profile[(i - k) % 12]!r}D" for i in range(12))
+            r = f"aggregate(zip_with(`{chroma}`, array({turned}), (a, b) -> a * b), 0D, (s, v) -> s + v) / _spread"
+            tries.append(f"named_struct('o', -round({r}, 9), 'mode', '{mode}', 'k', {k}, 'r', {r})")
+    total = f"aggregate(`{chroma}`, 0D, (s, v) -> s + v)"
+    square = f"aggregate(`{chroma}`, 0D, (s, v) -> s + v * v)"
+    x = df.withColumn("_spread", F.expr(f"sqrt({square} - {total} * {total} / 12)")).filter("_spread > 0")
+    x = x.withColumn("_t", F.expr(f"array_sort(array({', '.join(tries)}))"))
     best, second = F.get("_t", F.lit(0)), F.get("_t", F.lit(1))
-    return x.filter(F.size("_t") > 0).select("*", best["k"].cast("int").alias("tonic"), best["mode"].alias("mode"), best["r"].alias("r"), F.when(best["r"] - second["r"] < margin, "low").otherwise("high").alias("confidence")).drop("_t")
+    return x.select("*", best["k"].cast("int").alias("tonic"), best["mode"].alias("mode"), best["r"].alias("r"), F.when(best["r"] - second["r"] < margin, "low").otherwise("high").alias("confidence")).drop("_t", "_spread")
 
 
 def viterbi(scores: np.ndarray, stay: float) -> np.ndarray:
