@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 #: A null doc_id is ordered after every other.
 NULL_ID = 2**63 - 1
 #: Bytes of text that the vector kernels handle at once; their scratch arrays are some 60 times as large.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Rows of text in one Arrow batch, so that a batch of long documents stays small.
 BATCH_ROWS = 1000
 
