@@ -104,9 +104,13 @@ def cluster_cannot_link(x: np.ndarray, flags: np.ndarray, stop: float = 0.8) ->
     d = 1 - unit @ unit.T
     d[flags[:, None] != flags[None, :]] = np.inf
     np.fill_diagonal(d, np.inf)
-    size, label, live = np.ones(len(x)), np.arange(len(x)), np.ones(len(x), bool)
-    while live.sum() > 1:
-        i, j = divmod(int(np.argmin(d)), len(x))
+    size, label, every = np.ones(len(x)), np.arange(len(x)), np.arange(len(x))
+    # The nearest of each row is kept, so a merge costs a row and not the whole matrix.
+    near = d.argmin(1) if len(x) else every
+    least = d[every, near]
+    while len(x) > 1:
+        i = int(np.argmin(least))
+        j = int(near[i])
         if not d[i, j] < stop:
             break
         i, j = min(i, j), max(i, j)
@@ -114,8 +118,12 @@ def cluster_cannot_link(x: np.ndarray, flags: np.ndarray, stop: float = 0.8) ->
             merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
         d[i], d[:, i] = merged, merged
         d[i, i], d[j], d[:, j] = np.inf, np.inf, np.inf
+        closer = (d[:, i] < least) | ((d[:, i] == least) & (i < near))
+        again = np.flatnonzero((near == i) | (near == j) | (every == i) | (every == j))
+        least[closer], near[closer] = d[closer, i], i
+        near[again] = d[again].argmin(1)
+        least[again] = d[again, near[again]]
         size[i] += size[j]
-        live[j] = False
         label[label == j] = i
     _, first, names = np.unique(label, return_index=True, return_inverse=True)
     return np.argsort(np.argsort(first))[names]
