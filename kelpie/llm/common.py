@@ -32,9 +32,13 @@ BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, one is made if a single process does all
+    work (local mode, as in tests); on a cluster that is an error, as executors would write to disks of their own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="kelpie-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -56,13 +60,34 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/kelpie-stage-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_drop, spark, path)
+    _staged.add(path)
     out = spark.read.schema(schema).parquet(path)
+    out.staged_at = path
     del df
     spark._jvm.System.gc()
     return out
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "staged_at", None)
+        if path in _staged:
+            _staged.discard(path)
+            _drop(df.sparkSession, path)
+
+
+#: Staged tables that are still there; the session's end takes them.
+_staged: set[str] = set()
+
+
+@atexit.register
+def _drop_all() -> None:
+    spark = SparkSession.getActiveSession()
+    for path in list(_staged) if spark is not None else []:
+        _drop(spark, path)
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -94,8 +119,21 @@ def packed(docs: DataFrame, *more: Column) -> DataFrame:
 
 
 def text_tag() -> Column:
-    """16 bits of the text's hash: keeps rows of one doc_id but of different texts apart."""
-    return F.pmod(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), F.lit(65536)).cast("int").alias("tag")
+    """64 bits of the text's hash: with the doc_id the identity of a row, so rows without an id, or of one id, stay apart.
+    Rows of equal ids and texts are one document."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("tag")
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """(doc_id, did, tag, text): tag is text_tag() where the doc_id is null or occurs twice, else 0, which takes no room in exchanges.
+
+    The ids that occur twice are a table of their own, so its size decides between a broadcast and a shuffle before texts move;
+    rows without an id do not meet in it.
+    """
+    twice = stage(docs.filter("doc_id is not null").groupBy(doc_key()).agg(F.count("*").alias("rows_of_id")).filter("rows_of_id > 1").select("did"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key(), text_tag(), whole_text())
+    tag = F.when((F.col("did") == NULL_ID) | F.col("again"), F.col("tag")).otherwise(F.lit(0)).cast("long").alias("tag")
+    return rows.join(twice.withColumn("again", F.lit(True)), "did", "left").select("doc_id", "did", tag, "text")
 
 
 # ------------------------------------------------------------------ buffers of Arrow strings
@@ -281,3 +319,120 @@ def spans_union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     new = np.r_[True, s[1:] > e[:-1]]
     first = np.flatnonzero(new)
     return s[first], e[np.r_[first[1:] - 1, len(s) - 1]]
+
+
+# ------------------------------------------------------------------ hot keys of routed rows
+
+#: What is known of a routed row: nothing yet; it is a later copy; it has to be compared; or, of no row, that a key is hot.
+OPEN, LATE, COMPARE, MARK = range(4)
+#: Kinds of surroundings of one key in a map batch, and in a bucket, from which the key counts as hot.
+HOT_BATCH, HOT_BUCKET = 16, 512
+
+
+def kinds_of(gram: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """For each row: how many different surroundings its gram has."""
+    order = np.lexsort((around, gram))
+    new = run_starts(gram[order], around[order])
+    run = np.cumsum(run_starts(gram[order])) - 1
+    out = np.zeros(len(gram), np.int64)
+    out[order] = np.bincount(run, new, minlength=1)[run] if len(run) else 0
+    return out
+
+
+def route_anchors(cols: list[np.ndarray], first: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Send rows (gram, around, did, tag, at) of a map batch to the bucket of their gram; ``first``: which are not later copies in the batch.
+
+    Later copies are decided. So are the rows of a gram that has very many surroundings in this batch: they have to be compared
+    by content, and the gram's bucket is sent one mark for all of them. Decided rows go to buckets by document, so no bucket
+    gets more than HOT_BATCH rows of a gram from a map batch.
+    """
+    gram, around, did, tag, at = cols
+    flag = np.where(first, OPEN, LATE).astype(np.uint8)
+    own = np.flatnonzero(first)
+    hot = own[kinds_of(gram[own], around[own]) >= HOT_BATCH]
+    flag[hot] = COMPARE
+    marks = np.unique(gram[hot])
+    decided = flag != OPEN
+    n = np.uint64(n_buckets)
+    bucket = np.where(decided, mix(did.view(np.uint64) ^ tag.view(np.uint64)) % n, gram % n)
+    # The bucket tells the remainder of the gram's hash, so 48 bits of the quotient are kept; of the surroundings, 48.
+    rows = [np.where(decided, np.uint64(0), gram // n), np.where(decided, np.uint64(0), around), did, tag, at, flag]
+    extra = [marks // n, *[np.zeros(len(marks), c.dtype) for c in rows[1:5]], np.full(len(marks), MARK, np.uint8)]
+    rows = [np.concatenate(x) for x in zip(rows, extra, strict=True)]
+    yield from route(np.r_[bucket, marks % n].astype(np.int64), [*narrow(rows[0]), *narrow(rows[1]), *rows[2:]])
+
+
+ANCHOR_TYPES = ["u4", "u2", "u4", "u2", "i8", "i8", "u4", "u1"]
+FOUND = "did long, tag long, lo int, hi int, need int"
+
+
+def settle_anchors(table: pa.Table, firsts, reach: int) -> pa.Table:
+    """What a bucket of anchors decides: rows FOUND. need 0: strings that start in lo to hi are later copies. need 1: the strings around
+    hi have to be compared by content; 2: likewise, and their gram is hot."""
+    g1, g2, a1, a2, *cols, flag = unpack(blobs(table), ANCHOR_TYPES)
+    cols = [widen(g1, g2), widen(a1, a2), *cols]
+    done = [x[flag == LATE] for x in cols]
+    sent = [x[flag == COMPARE] for x in cols]
+    marks = np.unique(cols[0][flag == MARK])
+    keep = np.flatnonzero(flag == OPEN)
+    keep = keep[repeated(cols[0][keep]) | np.isin(cols[0][keep], marks)]
+    cols = [x[keep] for x in cols]
+    first = firsts(cols)
+    heads = [x[first] for x in cols]
+    kinds = kinds_of(heads[0], heads[1])
+    marked = np.isin(heads[0], marks)
+    many = (kinds > 1) | marked
+    hot = ((kinds >= HOT_BUCKET) | marked)[many]
+    did, tag, at = (np.concatenate([done[i], cols[i][~first], heads[i][many], sent[i]]) for i in (2, 3, 4))
+    need = np.r_[np.zeros(len(done[0]) + int((~first).sum()), np.int32), 1 + hot.astype(np.int32), np.full(len(sent[0]), 2, np.int32)]
+    at = at.astype(np.int32)
+    return pa.table({"did": did, "tag": tag, "lo": np.maximum(0, at - reach), "hi": at, "need": need.astype(np.int32)})
+
+
+STRING_TYPES = ["u8", "u8", "i8", "i8", "u4", "u1"]
+
+
+def route_strings(cols: list[np.ndarray], firsts, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Send rows (hash, hash, did, tag, at) of whole strings to buckets by their hash; what is later in the map batch is decided."""
+    order = np.lexsort((cols[4], cols[3], cols[2]))
+    order = order[run_starts(cols[2][order], cols[3][order], cols[4][order])]
+    cols = [x[order] for x in cols]
+    late = np.zeros(len(order), bool)
+    twice = np.flatnonzero(repeated(cols[0]))
+    late[twice[~firsts([x[twice] for x in cols])]] = True
+    n = np.uint64(n_buckets)
+    bucket = np.where(late, mix(cols[2].view(np.uint64) ^ cols[3].view(np.uint64)), cols[0]) % n
+    yield from route(bucket.astype(np.int64), [np.where(late, np.uint64(0), cols[0]), np.where(late, np.uint64(0), cols[1]), *cols[2:], np.where(late, LATE, OPEN).astype(np.uint8)])
+
+
+def settle_strings(table: pa.Table, firsts) -> pa.Table:
+    """Rows FOUND: runs of starts of strings that are later copies."""
+    *cols, flag = unpack(blobs(table), STRING_TYPES)
+    done = [x[flag == LATE] for x in cols]
+    keep = np.flatnonzero(flag == OPEN)
+    keep = keep[repeated(cols[0][keep])]
+    cols = [x[keep] for x in cols]
+    later = ~firsts(cols)
+    return found_runs(*(np.concatenate([done[i], cols[i][later]]) for i in (2, 3, 4)))
+
+
+def found_runs(did: np.ndarray, tag: np.ndarray, at: np.ndarray) -> pa.Table:
+    """Rows FOUND: consecutive starts of one document go as one row."""
+    at = at.astype(np.int64)
+    order = np.lexsort((at, tag, did))
+    d, t, p = did[order], tag[order], at[order]
+    jump = np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (p[1:] > p[:-1] + 1)] if len(p) else np.zeros(0, bool)
+    first = np.flatnonzero(jump)
+    last = np.r_[first[1:] - 1, len(p) - 1] if len(p) else first
+    return pa.table({"did": d[first], "tag": t[first], "lo": p[first].astype(np.int32), "hi": p[last].astype(np.int32), "need": np.zeros(len(first), np.int32)})
+
+
+def each_string(part: pa.RecordBatch, first: np.ndarray, reach: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, start) of the strings of ``length`` that begin at most ``reach`` before the places ``at`` of each document. first: where each document begins."""
+    where = part.column("at")
+    cut = np.asarray(where.offsets, np.int64)
+    at = where.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    doc = np.repeat(np.arange(part.num_rows), np.diff(cut))
+    p = (first[doc] + at)[:, None] - np.arange(reach + 1)[None, :]
+    p = np.unique(p[(p >= first[doc][:, None]) & (p + length <= first[doc + 1][:, None])])
+    return np.searchsorted(first[1:], p, "right"), p

@@ -6,14 +6,18 @@ within a margin of a split go down both sides (spill). The margin follows from t
 allows; the depth follows from the number of vectors, so leaves keep their size. Every vector is indexed in every tree.
 Within each leaf all cosines are computed in double precision, and pairs at or over the threshold are links.
 
-A pair may meet in several leaves: it is counted in the first leaf that both are in, and every leaf sends a spanning
-forest of its links for the components, so pairs are never written out. Equal vectors are one class from the start and a
-leaf over ``TILE`` vectors is dealt out as pairs of tiles.
+In the first tree, a node in which a typical pair is about as close as the threshold asks (``TIGHT``) is not split: a large group of near
+but unequal vectors would be cut through its middle at each level, and most of its pairs are links, so they are compared as they
+are. The other trees split it, which brings its vectors beside those around the group.
+
+A pair may meet in several leaves: it is counted in the first leaf that both are in, for which the leaves of linked vectors, and of
+no others, are found again from the trees. Every leaf sends a spanning forest of its links for the components, so pairs are never
+written out. Equal vectors are one class from the start and a leaf over ``TILE`` vectors is dealt out as pairs of tiles.
 
 Defined cases
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing. A shorter vector counts as
-    padded by zeros. Null vec_id: the largest id, returned as null. Repeated rows are links of each other. Rows of one vec_id
-    with different vectors share their links.
+    padded by zeros. Null vec_id: the largest id, returned as null. Repeated rows are links of each other. Rows of one vec_id, or
+    without one, with different vectors are told apart.
 """
 
 from __future__ import annotations
@@ -30,8 +34,8 @@ from kelpie.llm.components import components, merge
 
 THRESHOLD = 0.9
 #: Trees, vectors to a leaf on average, the sample that splits are fitted on, the margin in standard deviations of a
-#: linked pair's difference, and rows compared at once.
-TREES, LEAF, SAMPLE, SPILL, TILE = 8, 256, 8192, 0.4, 4096
+#: linked pair's difference, how close a node's typical pair is to that difference where it stays whole, and rows compared at once.
+TREES, LEAF, SAMPLE, SPILL, TIGHT, TILE = 8, 256, 8192, 0.4, 1.2, 8192
 SEED = 20240
 
 
@@ -43,6 +47,7 @@ def fit_forest(sample: np.ndarray, count: int, trees: int, leaf: int, threshold:
     rng = np.random.default_rng(SEED)
     dirs = rng.standard_normal((trees, depth, dim))
     dirs /= np.linalg.norm(dirs, axis=2, keepdims=True)
+    apart = math.sqrt(2 - 2 * threshold) / math.sqrt(dim)
     splits = []
     for t in range(trees):
         node, of_tree = np.zeros(n, np.int64), []
@@ -56,10 +61,13 @@ def fit_forest(sample: np.ndarray, count: int, trees: int, leaf: int, threshold:
             for k in range(width):
                 own = proj[order[cuts[k] : cuts[k + 1]], level]
                 points[k] = (np.median(own) if level <= known else own.mean()) if len(own) else 0.0
+                # All of a node that stays whole goes to the left.
+                if t == 0 and len(own) >= 16 and own.std() * math.sqrt(2) < TIGHT * apart:
+                    points[k] = math.inf
             of_tree.append(points)
             node = node * 2 + (proj[:, level] >= points[at])
         splits.append(of_tree)
-    return {"dirs": dirs, "splits": splits, "depth": depth, "known": known, "margin": spill * math.sqrt(2 - 2 * threshold) / math.sqrt(dim)}
+    return {"dirs": dirs, "splits": splits, "depth": depth, "known": known, "margin": spill * apart}
 
 
 def descend(x: np.ndarray, model: dict, tree: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,65 +101,69 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def leaves_of(x: np.ndarray, model: dict, trees: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leaf) of each place of unit vectors in the first trees; leaves are numbered tree by tree."""
+    rows, leaves = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for t in range(trees):
+        r, v = descend(x, model, t)
+        rows.append(r)
+        leaves.append(v + (t << 40))
+    return np.concatenate(rows), np.concatenate(leaves)
+
+
 def places_of(model, dim: int, trees: int, kind: str):
-    """Rows (leaf, node, n, leaves, vec): each class in each of its leaves, with the list of all of them. Vectors go as they came."""
+    """Rows (leaf, node, n, vec): each class in each of its leaves. Vectors go as they came."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             given = vectors(batch.column("vec"), dim)
-            x = unit(given)
-            rows, leaves = [], []
-            for t in range(trees):
-                r, v = descend(x, model.value, t)
-                rows.append(r)
-                leaves.append(v + (t << 40))
-            row, leaf = np.concatenate(rows), np.concatenate(leaves)
+            row, leaf = leaves_of(unit(given), model.value, trees)
             order = np.lexsort((leaf, row))
             row, leaf = row[order], leaf[order]
-            cuts = np.searchsorted(row, np.arange(len(x) + 1))
-            lists = [leaf[cuts[i] : cuts[i + 1]].tobytes() for i in range(len(x))]
             node, n = batch.column("node").to_numpy(), batch.column("n").to_numpy()
             body = [v.tobytes() for v in given.astype(kind)]
             for i in range(0, len(row), 20_000):
                 r = row[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(leaf[i : i + 20_000]), pa.array(node[r]), pa.array(n[r]), pa.array([lists[k] for k in r.tolist()], pa.binary()), pa.array([body[k] for k in r.tolist()], pa.binary())],
-                    names=["leaf", "node", "n", "leaves", "vec"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(leaf[i : i + 20_000]), pa.array(node[r]), pa.array(n[r]), pa.array([body[k] for k in r.tolist()], pa.binary())], names=["leaf", "node", "n", "vec"])
 
     return run
 
 
-def met_before(left: np.ndarray, right: np.ndarray, leaf: int) -> np.ndarray:
-    """Which pairs of rows of sorted leaf lists (padded by -1 and -2) share one before this leaf."""
-    met = np.zeros(len(left), bool)
-    live = np.arange(len(left))
-    for a in range(left.shape[1]):
-        of = left[live, a]
-        live, of = live[of < leaf], of[of < leaf]
+def met_before(x: np.ndarray, a: np.ndarray, b: np.ndarray, model: dict, leaf: int) -> np.ndarray:
+    """Which pairs of rows (a, b) of unit vectors share a leaf before this one."""
+    used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    row, leaves = leaves_of(x[used], model, (leaf >> 40) + 1)
+    row, leaves = row[leaves < leaf], leaves[leaves < leaf]
+    order = np.lexsort((leaves, row))
+    row, leaves = row[order], leaves[order]
+    cuts = np.searchsorted(row, np.arange(len(used) + 1))
+    wide = int(np.diff(cuts).max(initial=0))
+    place = np.arange(len(row)) - cuts[row]
+    left, right = np.full((len(used), wide), -1, np.int64), np.full((len(used), wide), -2, np.int64)
+    left[row, place] = right[row, place] = leaves
+    left, right = left[at[: len(a)]], right[at[len(a) :]]
+    met = np.zeros(len(a), bool)
+    live = np.arange(len(a))
+    for k in range(wide):
+        of = left[live, k]
+        live, of = live[of >= 0], of[of >= 0]
         if not len(live):
             break
-        hit = (right[live] == of[:, None]).any(axis=1) & (of >= 0)
+        hit = (right[live] == of[:, None]).any(axis=1)
         met[live[hit]] = True
         live = live[~hit]
     return met
 
 
-def compare_leaf(threshold: float, dim: int, kind: str):
+def compare_leaf(model, threshold: float, dim: int, kind: str):
     """Links within one leaf or one pair of its tiles: rows (a, b, n): node a has n more links (b null), or a joins b (n null)."""
 
     def run(table: pa.Table) -> pa.Table:
         x = unit(np.frombuffer(b"".join(table.column("vec").to_pylist()), kind).reshape(-1, dim).astype(np.float64))
         node, n, tile = (table.column(k).to_numpy() for k in ("node", "n", "tile"))
         leaf, i, j = (table.column(k)[0].as_py() for k in ("leaf", "i", "j"))
-        lists = [np.frombuffer(v, np.int64) for v in table.column("leaves").to_pylist()]
-        wide = max(map(len, lists))
-        padded = [np.full((len(lists), wide), fill, np.int64) for fill in (-1, -2)]
-        for k, v in enumerate(lists):
-            padded[0][k, : len(v)] = padded[1][k, : len(v)] = v
-        padded[0][padded[0] < 0] = 2**62
         labels, more = np.arange(len(node)), np.zeros(len(node), np.int64)
         left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
         for lo in range(0, len(left), 512):
@@ -160,10 +172,10 @@ def compare_leaf(threshold: float, dim: int, kind: str):
             p, q = own[p], right[q]
             if i == j:
                 p, q = p[p < q], q[p < q]
-            for k in range(0, len(p), 200_000):
-                a, b = p[k : k + 200_000], q[k : k + 200_000]
+            for k in range(0, len(p), 100_000):
+                a, b = p[k : k + 100_000], q[k : k + 100_000]
                 labels = merge(labels, a, b)
-                new = ~met_before(padded[0][a], padded[1][b], leaf)
+                new = ~met_before(x, a, b, model.value, leaf)
                 np.add.at(more, a[new], n[b[new]])
                 np.add.at(more, b[new], n[a[new]])
         counted, joined = np.flatnonzero(more), np.flatnonzero(labels != np.arange(len(node)))
@@ -186,22 +198,23 @@ def embedding_dedup(rows: DataFrame, threshold: float = THRESHOLD, trees: int =
     kind = "f4" if rows.schema["embedding"].dataType.simpleString() == "array<float>" else "f8"
     marked = rows.select(vid, F.col("embedding").cast("array<float>" if kind == "f4" else "array<double>").alias("vec"), F.coalesce(usable, F.lit(False)).alias("usable"))
     marked = marked.withColumn("k1", F.when(F.col("usable"), F.xxhash64("vec"))).withColumn("k2", F.when(F.col("usable"), F.xxhash64(F.lit(7), "vec")))
-    classes = c.stage(marked.filter("usable").groupBy("k1", "k2").agg(F.min("vid").alias("node"), F.count("*").alias("n"), F.any_value("vec").alias("vec")))
+    classes = c.stage(marked.filter("usable").groupBy("k1", "k2").agg(F.min("vid").alias("first"), F.count("*").alias("n"), F.any_value("vec").alias("vec")).withColumn("node", F.xxhash64("k1", "k2")))
     known = classes.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
     dim = known.dim or 1
     # The bounded sample that the splits are fitted on.
     taken = classes.select("vec", F.xxhash64("k1", "k2").alias("h"), "k1").orderBy("h", "k1").limit(SAMPLE).select("vec").toArrow()
     sample = unit(vectors(taken.column("vec").combine_chunks(), dim)) if taken.num_rows else np.zeros((0, dim))
     model = spark.sparkContext.broadcast(fit_forest(sample, known.n, trees, leaf, threshold, SPILL))
-    placed = c.stage(classes.select("node", "n", "vec").mapInArrow(places_of(model, dim, trees, kind), "leaf long, node long, n long, leaves binary, vec binary"))
+    placed = c.stage(classes.select("node", "n", "vec").mapInArrow(places_of(model, dim, trees, kind), "leaf long, node long, n long, vec binary"))
     large = placed.groupBy("leaf").count().filter(F.col("count") > tile).select("leaf", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
     dealt = placed.join(large, "leaf", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("i", F.least("tile", "o")).withColumn("j", F.greatest("tile", "o"))
-    found = c.stage(dealt.select("leaf", "i", "j", "tile", "node", "n", "leaves", "vec").groupBy("leaf", "i", "j").applyInArrow(compare_leaf(threshold, dim, kind), "a long, b long, n long"))
+    found = c.stage(dealt.select("leaf", "i", "j", "tile", "node", "n", "vec").groupBy("leaf", "i", "j").applyInArrow(compare_leaf(model, threshold, dim, kind), "a long, b long, n long"))
     counts = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("more"))
     reached = components(found.filter("b is not null").select("a", "b"))
-    named = classes.select("k1", "k2", "node", "n").join(counts, "node", "left").join(reached, "node", "left")
-    named = named.select("k1", "k2", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"), F.coalesce("component", "node").alias("component"))
+    named = classes.select("k1", "k2", "node", "first", "n").join(counts, "node", "left").join(reached, "node", "left")
+    named = c.stage(named.select("k1", "k2", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"), "first", F.coalesce("component", "node").alias("root")))
+    named = named.join(named.groupBy("root").agg(F.min("first").alias("component")), "root").drop("root", "first")
     out = marked.select("vid", "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.coalesce("component", "vid")
     back = lambda x: F.when(x != c.NULL_ID, x)

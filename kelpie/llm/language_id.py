@@ -7,14 +7,15 @@ Learning
 
 Inference
     A document is a mixture of languages, each word coming from one. Expectation-maximisation estimates the proportions from
-    the words' likelihoods (the product of their trigrams'). Then the set of languages is selected: the one, two, ...
-    ``MOST`` languages of largest proportion are fitted again, and the set of largest log-likelihood less ``PENALTY`` times
-    its size times the log of the number of words is taken. The prediction is the set's largest language, the
-    score its proportion.
+    the words' likelihoods (the product of their trigrams'). Then the set of languages is selected: the one, two, three, ...
+    languages of largest proportion are fitted again, as long as the log-likelihood less ``PENALTY`` times the set's size times the
+    log of the number of words rises. The prediction is the set's largest language, the score its proportion; the whole set
+    is returned as ``languages``.
 
 Defined cases
     Null text or no letter: ``und``, score 0. No labelled row to learn from: ``und`` for all. Null doc_id: never learned from,
-    counted as not held out. Ties: the language that sorts first.
+    counted as not held out. Ties: the language that sorts first. Repeated rows: learned from as often as they occur, the same
+    prediction each. A text is inferred whole.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ from kelpie.llm import common as c
 
 TRAIN_ROWS = 5000
 GRAMS = 1 << 16
-MOST, PENALTY, ROUNDS = 3, 1.0, 12
+PENALTY, ROUNDS = 1.0, 12
 SMOOTH = 0.5
+#: Languages that one model holds; more are an error, as the model is a table that the driver makes.
+MOST_LANGUAGES = 256
 
 #: ASCII letters in lower case, bytes of longer characters as they are, all else a space.
 LETTERS = np.full(256, 0x20, np.uint8)
@@ -78,7 +81,9 @@ def learn(docs: DataFrame, rows_each: int = TRAIN_ROWS) -> tuple[list[str], np.n
     """(languages in order, log-probabilities: grams x languages)."""
     spark = docs.sparkSession
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    there = labelled.groupBy("lang").agg(F.count("*").alias("there"))
+    there = c.stage(labelled.groupBy("lang").agg(F.count("*").alias("there")))
+    if there.count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: split the table or merge labels")
     coin = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language")), F.lit(1 << 20))
     # Chosen on ids alone. About rows_each of each language, so the list is broadcast and no text is shuffled.
     ids = labelled.select("doc_id", "lang").join(there, "lang").filter(coin * F.col("there") < F.lit(rows_each << 20)).select("doc_id").distinct()
@@ -118,32 +123,38 @@ def expectation_maximisation(like: np.ndarray, top: np.ndarray, first: np.ndarra
 
 
 def infer(gram: np.ndarray, cuts: np.ndarray, first: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(language, proportion) of each document."""
+    """(languages, proportions) of each document's set, the largest first; the rest of a row is -1 and 0."""
     n_docs, n_langs = len(first) - 1, model.shape[1]
+    langs, shares = np.full((n_docs, n_langs), -1, np.int64), np.zeros((n_docs, n_langs))
     if not len(cuts) - 1:
-        return np.zeros(n_docs, np.int64), np.zeros(n_docs)
+        return langs, shares
     logs = np.empty((len(cuts) - 1, n_langs), np.float32)
     for k in range(n_langs):
         logs[:, k] = np.add.reduceat(model[:, k][gram], cuts[:-1])
     top = logs.max(1)
-    like = np.exp(logs - top[:, None])
-    theta, _ = expectation_maximisation(like, top, first, ROUNDS)
+    theta, _ = expectation_maximisation(np.exp(logs - top[:, None]), top, first, ROUNDS)
     order = np.argsort(-theta, axis=1, kind="stable")
-    count = np.diff(first)
-    owner = np.repeat(np.arange(n_docs), count)
-    best, lang, share = np.full(n_docs, -np.inf), np.zeros(n_docs, np.int64), np.zeros(n_docs)
-    for k in range(1, min(MOST, n_langs) + 1):
-        chosen = order[:, :k]
-        picked = np.take_along_axis(logs, chosen[owner], axis=1)
-        high = picked.max(1)
-        part, value = expectation_maximisation(np.exp(picked - high[:, None]), high, first, ROUNDS if k > 1 else 1)
+    best = np.full(n_docs, -np.inf)
+    # Documents whose set still grows.
+    live = np.arange(n_docs)
+    for k in range(1, n_langs + 1):
+        count = np.diff(first)[live]
+        words = np.repeat(first[live] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(int(count.sum()))
+        own = np.r_[0, np.cumsum(count)]
+        chosen = order[live, :k]
+        picked = np.take_along_axis(logs[words], chosen[np.repeat(np.arange(len(live)), count)], axis=1)
+        high = picked.max(1) if len(words) else np.zeros(0, np.float32)
+        part, value = expectation_maximisation(np.exp(picked - high[:, None]), high, own, ROUNDS if k > 1 else 1)
         value = value - PENALTY * k * np.log(count + 1)
-        better = value > best
-        lead = part.argmax(1)
-        lang[better] = chosen[np.arange(n_docs), lead][better]
-        share[better] = part[np.arange(n_docs), lead][better]
-        best = np.maximum(best, value)
-    return lang, np.clip(share, 0, 1)
+        better = value > best[live]
+        best[live[better]] = value[better]
+        ranked = np.argsort(-part[better], axis=1, kind="stable")
+        langs[live[better], :k] = np.take_along_axis(chosen[better], ranked, axis=1)
+        shares[live[better], :k] = np.take_along_axis(part[better], ranked, axis=1)
+        live = live[better]
+        if not len(live):
+            break
+    return langs, np.clip(shares, 0, 1)
 
 
 def predict_with(langs: list[str], model):
@@ -155,21 +166,26 @@ def predict_with(langs: list[str], model):
                 if langs:
                     which, share = infer(*grams(data, off), model.value)
                 else:
-                    which, share, letter = np.zeros(part.num_rows, int), np.zeros(part.num_rows), np.zeros(part.num_rows, bool)
-                names = [langs[w] if ok else "und" for w, ok in zip(which.tolist(), letter.tolist(), strict=True)]
+                    which, share = np.full((part.num_rows, 1), -1), np.zeros((part.num_rows, 1))
+                which = np.where(letter[:, None], which, -1)
+                names = [langs[w] if w >= 0 else "und" for w in which[:, 0].tolist()]
+                score = np.where(which[:, 0] >= 0, share[:, 0], 0.0)
+                row, col = np.nonzero(which >= 0)
+                each = pa.StructArray.from_arrays([pa.array([langs[w] for w in which[row, col].tolist()], pa.string()), pa.array(share[row, col])], names=["lang", "share"])
+                sets = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)), each)
                 others = [part.column(i) for i, x in enumerate(part.schema.names) if x not in ("text", "letter")]
-                yield pa.RecordBatch.from_arrays([*others, pa.array(names, pa.string()), pa.array(np.where(letter, share, 0.0))], names=[*(x for x in part.schema.names if x not in ("text", "letter")), "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*others, pa.array(names, pa.string()), pa.array(score), sets], names=[*(x for x in part.schema.names if x not in ("text", "letter")), "lang_pred", "score", "languages"])
 
     return run
 
 
 def identify(docs: DataFrame, rows_each: int = TRAIN_ROWS) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, lang_pred, score."""
+    """One row per row of docs: doc_id, held_out, lang_pred, score, languages (lang and share of each in the inferred set)."""
     spark = docs.sparkSession
     c.prepare(spark)
     langs, model = learn(docs, rows_each)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), spaced(), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
-    return rows.mapInArrow(predict_with(langs, spark.sparkContext.broadcast(model)), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(predict_with(langs, spark.sparkContext.broadcast(model)), "doc_id long, held_out boolean, lang_pred string, score double, languages array<struct<lang:string,share:double>>")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, rows_each: int = TRAIN_ROWS) -> DataFrame:
@@ -178,6 +194,6 @@ def keep_identified(docs: DataFrame, least: float = 0.5, rows_each: int = TRAIN_
     c.prepare(spark)
     langs, model = learn(docs, rows_each)
     packed = c.packed(docs, spaced(), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
-    schema = T.StructType([packed.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([packed.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())])))])
     judged = packed.mapInArrow(predict_with(langs, spark.sparkContext.broadcast(model)), schema)
     return judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")

@@ -10,8 +10,9 @@ numbered within (shard, part), and the sizes of the parts before (at most shards
 are added. No task holds a whole shard.
 
 Defined cases
-    Null doc_id: the key is the word ``null``. Null text: no bytes, CRC of nothing (0). Repeated rows: one shard, slots of
-    their own in an order that does not matter as the rows are equal. Equal texts need not share a shard: the key decides.
+    Null doc_id: the key is the word ``null``, so rows without an id share a shard, whose slots are still gapless. Null text: no bytes,
+    CRC of nothing (0). Rows of one doc_id: one shard, slots by size and hash of their texts; equal rows have slots in an order that
+    does not matter. Equal texts need not share a shard: the key decides.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelpie.llm import common as c
+
 #: Parts of a shard that are numbered on their own.
 PARTS = 256
 
@@ -43,19 +46,29 @@ def assign_shards(docs: DataFrame, weights: Sequence[float] = (1.0,) * 16, name:
     return docs.withColumn(name, rendezvous(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), weights))
 
 
-def number_slots(rows: DataFrame, n_shards: int, key: str = "doc_id", parts: int = PARTS) -> DataFrame:
-    """rows (with a column shard) with a gapless ``slot`` in each shard."""
+def number_slots(rows: DataFrame, n_shards: int, key: str = "doc_id", ties: Sequence[str] = (), parts: int = PARTS) -> DataFrame:
+    """rows (with a column shard) with a gapless ``slot`` in each shard; rows of one key are in the order of ``ties``."""
     part = F.pmod(hashed(F.concat(F.lit("slot:"), F.coalesce(F.col(key).cast("string"), F.lit("null"))), 6), F.lit(parts)).cast("int")
     rows = rows.withColumn("_part", part)
     sizes = rows.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("shard", "_part").orderBy(F.col(key).asc_nulls_last())
+    within = Window.partitionBy("shard", "_part").orderBy(F.col(key).asc_nulls_last(), *ties)
     numbered = rows.withColumn("_row", F.row_number().over(within) - 1)
     # At most n_shards x parts rows, so this side is broadcast.
     return numbered.join(F.broadcast(starts), ["shard", "_part"]).withColumn("slot", (F.col("_start") + F.col("_row")).cast("long")).drop("_part", "_row", "_start")
 
 
+def shard_rows(docs: DataFrame, weights: Sequence[float] = (1.0,) * 16) -> DataFrame:
+    """The rows of docs with their columns, ``shard`` and ``slot``; columns of these two names are replaced."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = c.packed(docs, F.col("doc_id"), F.octet_length(text).alias("size"), F.xxhash64(text).alias("tie"))
+    placed = rows.withColumn("shard", rendezvous(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), weights).cast("int"))
+    numbered = number_slots(placed, len(weights), ties=("size", "tie"))
+    old = [F.col(f"row.`{x}`") for x in docs.columns if x.lower() not in ("shard", "slot")]
+    return numbered.select(*old, "shard", "slot")
+
+
 def shard_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -68,7 +81,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:
         rendezvous(key, [1.0] * n_shards).cast("int").alias("shard"),
         rendezvous(key, [1.0] * (n_shards + 1)).cast("int").alias("grown_shard"),
     )
-    return number_slots(rows, n_shards).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return number_slots(rows, n_shards, ties=("size", "text_crc32")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 _SCORE = "-ln((('0x' || substr(md5(k || ':' || s), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"

@@ -11,8 +11,9 @@ How it is spread
     * where all words around an anchor that a full window can hold are equal, every document but the one of least id loses
       all those windows; map batches decide this among their own rows first, so a group of copies sends a row per batch;
     * where surroundings differ, the windows of the least document of each kind are hashed in full (128 bits), meet by
-      that hash, and those not of the least document go. Windows spread by their own content, so a phrase that is
-      common to very many documents does not bring these together.
+      that hash, and those not of the least document go. Map batches decide among their own windows first, so one that very many
+      documents hold sends a row per batch; an anchor of HOT_BATCH surroundings in a batch is known to differ and its rows go
+      straight to this step, with one mark for its bucket.
 
 Defined cases
     Null or short text: nothing removed. Null doc_id: the largest id. Rows of one doc_id are never earlier than each other,
@@ -21,7 +22,6 @@ Defined cases
 
 from __future__ import annotations
 
-import hashlib
 from itertools import compress
 
 import numpy as np
@@ -33,8 +33,6 @@ from kelpie.llm import common as c
 
 LENGTH, PERIOD, COVER = 13, 7, (0, 1, 3)
 FLUSH = 1 << 20
-TYPES = ["u4", "u2", "u4", "u2", "i8", "u2", "u4", "u1"]
-FOUND = "did long, tag int, lo int, hi int, need boolean"
 
 
 def is_cover(cover: tuple[int, ...], period: int) -> bool:
@@ -73,6 +71,11 @@ def of_least(keys: list[np.ndarray], did: np.ndarray) -> np.ndarray:
     return out
 
 
+def firsts(cols: list[np.ndarray]) -> np.ndarray:
+    """Which rows of (hash, hash, did, ...) are of the least document of their hashes."""
+    return of_least([cols[1], cols[0]], cols[2])
+
+
 def anchors_of(n_buckets: int, length: int, period: int, cover: tuple[int, ...]):
     def run(batches):
         held: list[list[np.ndarray]] = []
@@ -80,11 +83,10 @@ def anchors_of(n_buckets: int, length: int, period: int, cover: tuple[int, ...])
         def flush():
             cols = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
-            gone = np.zeros(len(cols[0]), np.uint8)
+            first = np.ones(len(cols[0]), bool)
             twice = np.flatnonzero(c.repeated(cols[1]))
-            gone[twice[~of_least([cols[1][twice], cols[0][twice]], cols[2][twice])]] = 1
-            # The bucket tells the remainder of the gram's hash, so 48 bits of the quotient are kept; of the surroundings, 48.
-            yield from c.route((cols[0] % np.uint64(n_buckets)).astype(np.int64), [*c.narrow(cols[0] // np.uint64(n_buckets)), *c.narrow(cols[1]), *cols[2:], gone])
+            first[twice] = firsts([x[twice] for x in cols])
+            yield from c.route_anchors(cols, first, n_buckets)
 
         for batch in batches:
             for part in c.slices(batch):
@@ -92,7 +94,7 @@ def anchors_of(n_buckets: int, length: int, period: int, cover: tuple[int, ...])
                 doc, at, gram, around = find_anchors(data, off, length, period, cover)
                 if len(doc):
                     did, tag = (part.column(x).to_numpy(zero_copy_only=False) for x in ("did", "tag"))
-                    held.append([gram, around, did[doc], tag[doc].astype(np.uint16), at.astype(np.uint32)])
+                    held.append([gram, around, did[doc], tag[doc], at.astype(np.uint32)])
                 if sum(len(x[0]) for x in held) >= FLUSH:
                     yield from flush()
         if held:
@@ -102,65 +104,39 @@ def anchors_of(n_buckets: int, length: int, period: int, cover: tuple[int, ...])
 
 
 def resolve(period: int):
-    def run(table: pa.Table) -> pa.Table:
-        g1, g2, a1, a2, *cols, gone = c.unpack(c.blobs(table), TYPES)
-        cols = [c.widen(g1, g2), c.widen(a1, a2), *cols]
-        done = [x[gone == 1] for x in cols]
-        keep = np.flatnonzero(gone == 0)
-        keep = keep[c.repeated(cols[0][keep])]
-        cols = [x[keep] for x in cols]
-        least = of_least([cols[1], cols[0]], cols[2])
-        heads = [x[least] for x in cols]
-        order = np.lexsort((heads[1], heads[0]))
-        kinds = c.run_starts(heads[0][order], heads[1][order])
-        runs = np.cumsum(c.run_starts(heads[0][order])) - 1
-        many = np.zeros(len(order), bool)
-        if len(order):
-            many[order] = (np.bincount(runs, kinds) > 1)[runs]
-        did, tag, at = (np.concatenate([done[i], cols[i][~least], heads[i][many]]) for i in (2, 3, 4))
-        need = np.r_[np.zeros(len(done[0]) + int((~least).sum()), bool), np.ones(int(many.sum()), bool)]
-        at = at.astype(np.int32)
-        return pa.table({"did": did, "tag": tag.astype(np.int32), "lo": np.maximum(0, at - period + 1), "hi": at, "need": need})
-
-    return run
+    return lambda table: c.settle_anchors(table, firsts, period - 1)
 
 
 def windows_of(n_buckets: int, length: int, period: int):
     """Full windows around anchors whose surroundings differ."""
 
     def run(batches):
+        held: list[list[np.ndarray]] = []
+
+        def flush():
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            yield from c.route_strings(cols, firsts, n_buckets)
+
         for batch in batches:
             for part in c.slices(batch):
                 data, off = c.buffers(part.column("text"))
                 (roll, first), (roll2, _) = sequence(data, off), sequence(data, off, 1)
-                where = part.column("at")
-                cut = np.asarray(where.offsets, np.int64)
-                at = where.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                doc = np.repeat(np.arange(part.num_rows), np.diff(cut))
-                p = (first[doc] + at)[:, None] - np.arange(period)[None, :]
-                ok = (p >= first[doc][:, None]) & (p + length <= first[doc + 1][:, None])
-                p = np.unique(p[ok])
-                d = np.searchsorted(first[1:], p, "right")
-                h = roll(p, p + length)
+                doc, p = c.each_string(part, first, period - 1, length)
                 did, tag = (part.column(x).to_numpy(zero_copy_only=False) for x in ("did", "tag"))
-                yield from c.route((h % np.uint64(n_buckets)).astype(np.int64), [h, roll2(p, p + length), did[d], tag[d].astype(np.uint16), (p - first[d]).astype(np.uint32)])
+                held.append([roll(p, p + length), roll2(p, p + length), did[doc], tag[doc], (p - first[doc]).astype(np.uint32)])
+                if sum(len(x[0]) for x in held) >= FLUSH:
+                    yield from flush()
+        if held:
+            yield from flush()
 
     return run
 
 
-def resolve_windows(table: pa.Table) -> pa.Table:
-    h, h2, did, tag, at = c.unpack(c.blobs(table), ["u8", "u8", "i8", "u2", "u4"])
-    keep = np.flatnonzero(c.repeated(h))
-    h, h2, did, tag, at = (x[keep] for x in (h, h2, did, tag, at))
-    later = ~of_least([h2, h], did)
-    at = at[later].astype(np.int32)
-    return pa.table({"did": did[later], "tag": tag[later].astype(np.int32), "lo": at, "hi": at, "need": np.zeros(len(at), bool)})
-
-
 def cut_out(length: int):
     def run(batches):
         for batch in batches:
-            found = batch.column("spans")
+            found = batch.column("starts")
             cut = np.asarray(found.offsets, np.int64)
             cut = cut - cut[0]
             flat = found.flatten()
@@ -182,34 +158,38 @@ def cut_out(length: int):
                     ws = list(compress(ws, stay.tolist()))
                 total.append(n)
                 removed.append(gone)
-                kept.append(hashlib.sha256(b" ".join(ws)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+                kept.append(b" ".join(ws))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     return run
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
-    """(did, tag, lo, hi): from which words of which documents a window starts that also starts in a smaller document."""
-    spark = docs.sparkSession
+def repeated_windows(rows: DataFrame, length: int = LENGTH, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
+    """(did, tag, lo, hi): from which words of which documents a window starts that also starts in a smaller document. rows: as identified() gives them."""
+    spark = rows.sparkSession
     if not is_cover(cover, period) or period > length:
         raise ValueError("not a difference cover of this period")
-    c.prepare(spark)
     nb = c.buckets(spark)
-    rows = docs.select(c.doc_key(), c.text_tag(), c.whole_text())
-    found = c.stage(rows.mapInArrow(anchors_of(nb, length, period, cover), c.ROUTED).groupBy("bucket").applyInArrow(resolve(period), FOUND))
-    wanted = found.filter("need").groupBy("did", "tag").agg(F.collect_set("hi").alias("at"))
+    rows = rows.select("did", "tag", "text")
+    found = c.stage(rows.mapInArrow(anchors_of(nb, length, period, cover), c.ROUTED).groupBy("bucket").applyInArrow(resolve(period), c.FOUND))
+    wanted = found.filter("need > 0").groupBy("did", "tag").agg(F.collect_set("hi").alias("at"))
     windows = rows.join(wanted, ["did", "tag"]).select("did", "tag", "text", "at").mapInArrow(windows_of(nb, length, period), c.ROUTED)
-    late = c.stage(windows.groupBy("bucket").applyInArrow(resolve_windows, FOUND))
-    return found.filter("not need").unionByName(late).select("did", "tag", "lo", "hi")
+    late = c.stage(windows.groupBy("bucket").applyInArrow(lambda t: c.settle_strings(t, firsts), c.FOUND))
+    return found.filter("need = 0").unionByName(late).select("did", "tag", "lo", "hi")
+
+
+def deduplicate(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_removed and kept, the words that stay, joined by one space."""
+    c.prepare(docs.sparkSession)
+    rows = c.identified(docs)
+    starts = repeated_windows(rows, length, period, cover).groupBy("did", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
+    joined = rows.join(starts, ["did", "tag"], "left").select("doc_id", "text", F.coalesce("starts", F.array().cast("array<struct<lo:int,hi:int>>")).alias("starts"))
+    return joined.mapInArrow(cut_out(length), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_removed, kept_sha256."""
-    starts = repeated_windows(docs, length, period, cover)
-    spans = starts.groupBy("did", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    rows = docs.select("doc_id", c.doc_key(), c.text_tag(), c.whole_text())
-    joined = rows.join(spans, ["did", "tag"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("spans", F.array().cast("array<struct<lo:int,hi:int>>")).alias("spans"))
-    return joined.mapInArrow(cut_out(length), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    """The digest of deduplicate(): doc_id, n_words, n_removed, kept_sha256."""
+    return deduplicate(docs, length, period, cover).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 ORACLE_SQL = r"""

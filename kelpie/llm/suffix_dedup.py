@@ -16,18 +16,20 @@ How it is spread
       are sorted by recursion, the remaining suffixes are merged in, and neighbours are compared over ``length`` bytes.
 
     The contents that route a piece are its inner 75 bytes left or right of the anchor's start, so a short line that is
-    common to very many documents does not bring them together.
+    common to very many documents does not bring them together. Where a gram has very many surroundings (HOT_BATCH in a map
+    batch, HOT_BUCKET in its bucket: a passage that many documents share), its strings are hashed as a whole instead and meet by
+    that hash, each map batch having decided among its own: a bucket gets one row of a string for each map batch, not for
+    each document.
 
 Defined cases
     null or short text: nothing removed. Null doc_id: the largest id. Rows with the same doc_id and text are one document
     and get the same result each; rows of one doc_id with different texts are ordered by a hash of the text.
-    Hashes that decide are at least 48 bits of the anchor, those its bucket tells, and 48 of the surroundings together.
+    Hashes that decide are at least 48 bits of the anchor, those its bucket tells, and 48 of the surroundings together; of
+    strings of hot grams 128 bits.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,8 +39,6 @@ from kelpie.llm import common as c
 
 LENGTH = 100
 FLUSH = 1 << 20
-TYPES = ["u4", "u2", "u4", "u2", "i8", "u2", "u4", "u1"]
-FOUND = "did long, tag int, lo int, hi int, need boolean"
 
 
 # ------------------------------------------------------------------ difference cover
@@ -144,11 +144,10 @@ def anchors_of(n_buckets: int, length: int):
         def flush():
             cols = [np.concatenate(x) for x in zip(*held, strict=True)]
             held.clear()
-            gone = np.zeros(len(cols[0]), np.uint8)
+            first = np.ones(len(cols[0]), bool)
             twice = np.flatnonzero(c.repeated(cols[0] ^ cols[1]))
-            gone[twice[~firsts([x[twice] for x in cols])]] = 1
-            # The bucket tells the remainder of the gram's hash, so 48 bits of the quotient are kept; of the surroundings, 48.
-            yield from c.route((cols[0] % np.uint64(n_buckets)).astype(np.int64), [*c.narrow(cols[0] // np.uint64(n_buckets)), *c.narrow(cols[1]), *cols[2:], gone])
+            first[twice] = firsts([x[twice] for x in cols])
+            yield from c.route_anchors(cols, first, n_buckets)
 
         for batch in batches:
             for part in c.slices(batch):
@@ -156,7 +155,7 @@ def anchors_of(n_buckets: int, length: int):
                 doc, at, gram, around = find_anchors(data, off, length)
                 if len(doc):
                     did, tag = (part.column(x).to_numpy(zero_copy_only=False) for x in ("did", "tag"))
-                    held.append([gram, around, did[doc], tag[doc].astype(np.uint16), at.astype(np.uint32)])
+                    held.append([gram, around, did[doc], tag[doc], at.astype(np.uint32)])
                 if sum(len(x[0]) for x in held) >= FLUSH:
                     yield from flush()
         if held:
@@ -166,28 +165,30 @@ def anchors_of(n_buckets: int, length: int):
 
 
 def resolve(length: int):
-    reach = length - length // 2
+    return lambda table: c.settle_anchors(table, firsts, length - length // 2)
 
-    def run(table: pa.Table) -> pa.Table:
-        g1, g2, a1, a2, *cols, gone = c.unpack(c.blobs(table), TYPES)
-        cols = [c.widen(g1, g2), c.widen(a1, a2), *cols]
-        done = [x[gone == 1] for x in cols]
-        keep = np.flatnonzero(gone == 0)
-        keep = keep[c.repeated(cols[0][keep])]
-        cols = [x[keep] for x in cols]
-        first = firsts(cols)
-        heads = [x[first] for x in cols]
-        # Only grams with two kinds of surroundings need their bytes.
-        order = np.lexsort((heads[1], heads[0]))
-        kinds = c.run_starts(heads[0][order], heads[1][order])
-        runs = np.cumsum(c.run_starts(heads[0][order])) - 1
-        many = np.zeros(len(order), bool)
-        if len(order):
-            many[order] = (np.bincount(runs, kinds) > 1)[runs]
-        did, tag, at = (np.concatenate([done[i], cols[i][~first], heads[i][many]]) for i in (2, 3, 4))
-        need = np.r_[np.zeros(len(done[0]) + int((~first).sum()), bool), np.ones(int(many.sum()), bool)]
-        at = at.astype(np.int32)
-        return pa.table({"did": did, "tag": tag.astype(np.int32), "lo": np.maximum(0, at - reach), "hi": at, "need": need})
+
+def strings_of(n_buckets: int, length: int):
+    """The strings around anchors of hot grams, by their hashes."""
+
+    def run(batches):
+        held: list[list[np.ndarray]] = []
+
+        def flush():
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            yield from c.route_strings(cols, firsts, n_buckets)
+
+        for batch in batches:
+            for part in c.slices(batch):
+                data, off = c.buffers(part.column("text"))
+                doc, p = c.each_string(part, off, length - length // 2, length)
+                did, tag = (part.column(x).to_numpy(zero_copy_only=False) for x in ("did", "tag"))
+                held.append([c.Rolling(data)(p, p + length), c.Rolling(data, 1)(p, p + length), did[doc], tag[doc], (p - off[doc]).astype(np.uint32)])
+                if sum(len(x[0]) for x in held) >= FLUSH:
+                    yield from flush()
+        if held:
+            yield from flush()
 
     return run
 
@@ -224,7 +225,7 @@ def pieces_of(n_buckets: int, length: int):
                 for i in range(0, len(key), 20_000):
                     j = slice(i, i + 20_000)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array((key[j] % np.uint64(n_buckets)).astype(np.int32)), pa.array(key[j].view(np.int64)), pa.array(did[d[j]]), pa.array(tag[d[j]].astype(np.int32)), pa.array((lo[j] - off[d[j]]).astype(np.int32)), pa.array([raw[x:y] for x, y in zip(lo[j], hi[j], strict=True)], pa.binary())],
+                        [pa.array((key[j] % np.uint64(n_buckets)).astype(np.int32)), pa.array(key[j].view(np.int64)), pa.array(did[d[j]]), pa.array(tag[d[j]]), pa.array((lo[j] - off[d[j]]).astype(np.int32)), pa.array([raw[x:y] for x, y in zip(lo[j], hi[j], strict=True)], pa.binary())],
                         names=["bucket", "key", "did", "tag", "at", "body"],
                     )
 
@@ -256,14 +257,7 @@ def sort_pieces(length: int):
         d, t, p, new = d[order], t[order], p[order], c.run_starts(group[order])
         head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0)) if len(order) else order
         later = (d != d[head]) | (t != t[head]) | (p != p[head])
-        d, t, p = d[later], t[later], p[later]
-        # Consecutive starts of one document go as one row.
-        order = np.lexsort((p, t, d))
-        d, t, p = d[order], t[order], p[order]
-        jump = np.r_[True, (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (p[1:] > p[:-1] + 1)] if len(p) else np.zeros(0, bool)
-        first = np.flatnonzero(jump)
-        last = np.r_[first[1:] - 1, len(p) - 1] if len(p) else first
-        return pa.table({"did": d[first], "tag": t[first].astype(np.int32), "lo": p[first].astype(np.int32), "hi": p[last].astype(np.int32), "need": np.zeros(len(first), bool)})
+        return c.found_runs(d[later], t[later], p[later])
 
     return run
 
@@ -278,47 +272,59 @@ def cut_out(length: int):
             n = batch.num_rows
             data, off = c.buffers(texts)
             raw = memoryview(np.ascontiguousarray(data))
-            found = batch.column("spans")
+            found = batch.column("starts")
             cut = np.asarray(found.offsets, np.int64)
             flat = found.flatten()
             lo, hi = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            removed, spans, kept = np.zeros(n, np.int64), np.zeros(n, np.int64), []
+            begin, end, per_row, kept = [], [], np.zeros(n, np.int32), []
             size = np.diff(off)
             for i in range(n):
                 a, b = cut[i] - cut[0], cut[i + 1] - cut[0]
-                digest, at = hashlib.sha256(), int(off[i])
+                at, parts = int(off[i]), []
                 if b > a:
                     s = lo[a:b]
                     e = np.minimum(hi[a:b], size[i] - length) + length
                     s, e = c.spans_union(s[e > s], e[e > s])
-                    removed[i], spans[i] = (e - s).sum(), len(s)
+                    begin.append(s)
+                    end.append(e)
+                    per_row[i] = len(s)
                     for x, y in zip(s.tolist(), e.tolist(), strict=True):
-                        digest.update(raw[at : int(off[i]) + x])
+                        parts.append(raw[at : int(off[i]) + x])
                         at = int(off[i]) + y
-                digest.update(raw[at : int(off[i + 1])])
-                kept.append(digest.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(removed), pa.array(spans), pa.array(kept, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                parts.append(raw[at : int(off[i + 1])])
+                kept.append(b"".join(parts))
+            spans = pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int32)) for x in (begin, end)], names=["start", "end"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(per_row)].astype(np.int32)), spans), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
     return run
 
 
-def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(did, tag, lo, hi): from which bytes of which documents a string of ``length`` bytes starts that also starts earlier."""
-    spark = docs.sparkSession
-    c.prepare(spark)
+def repeated_starts(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(did, tag, lo, hi): from which bytes of which documents a string of ``length`` bytes starts that also starts earlier. rows: as identified() gives them."""
+    spark = rows.sparkSession
     nb = c.buckets(spark)
-    rows = docs.select(c.doc_key(), c.text_tag(), c.whole_text())
-    found = c.stage(rows.mapInArrow(anchors_of(nb, length), c.ROUTED).groupBy("bucket").applyInArrow(resolve(length), FOUND))
-    wanted = found.filter("need").groupBy("did", "tag").agg(F.collect_set("hi").alias("at"))
-    pieces = rows.join(wanted, ["did", "tag"]).select("did", "tag", "text", "at").mapInArrow(pieces_of(nb, length), "bucket int, key long, did long, tag int, at int, body binary")
-    sorted_ = c.stage(pieces.groupBy("bucket").applyInArrow(sort_pieces(length), FOUND))
-    return found.filter("not need").unionByName(sorted_).select("did", "tag", "lo", "hi")
+    rows = rows.select("did", "tag", "text")
+    found = c.stage(rows.mapInArrow(anchors_of(nb, length), c.ROUTED).groupBy("bucket").applyInArrow(resolve(length), c.FOUND))
+
+    def around(need: int) -> DataFrame:
+        wanted = found.filter(F.col("need") == need).groupBy("did", "tag").agg(F.collect_set("hi").alias("at"))
+        return rows.join(wanted, ["did", "tag"]).select("did", "tag", "text", "at")
+
+    pieces = around(1).mapInArrow(pieces_of(nb, length), "bucket int, key long, did long, tag long, at int, body binary")
+    sorted_ = c.stage(pieces.groupBy("bucket").applyInArrow(sort_pieces(length), c.FOUND))
+    hot = c.stage(around(2).mapInArrow(strings_of(nb, length), c.ROUTED).groupBy("bucket").applyInArrow(lambda t: c.settle_strings(t, firsts), c.FOUND))
+    return found.filter("need = 0").unionByName(sorted_).unionByName(hot).select("did", "tag", "lo", "hi")
+
+
+def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, spans (start and end of each maximal removed run) and kept, the bytes that stay."""
+    c.prepare(docs.sparkSession)
+    rows = c.identified(docs)
+    starts = repeated_starts(rows, length).groupBy("did", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
+    joined = rows.join(starts, ["did", "tag"], "left").select("doc_id", "text", F.coalesce("starts", F.array().cast("array<struct<lo:int,hi:int>>")).alias("starts"))
+    return joined.mapInArrow(cut_out(length), "doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    starts = repeated_starts(docs, length)
-    spans = starts.groupBy("did", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    rows = docs.select("doc_id", c.doc_key(), c.text_tag(), c.whole_text())
-    joined = rows.join(spans, ["did", "tag"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("spans", F.array().cast("array<struct<lo:int,hi:int>>")).alias("spans"))
-    return joined.mapInArrow(cut_out(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    """The digest of deduplicate(): doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    return deduplicate(docs, length).select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
