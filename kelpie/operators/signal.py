@@ -6,6 +6,8 @@ hold one group in a task, as one signal is one recording.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,28 +39,106 @@ def biquad(samples: Column, b: tuple[float, float, float], a: tuple[float, float
     return F.aggregate(samples, zero, step, lambda s: s["out"])
 
 
-def biquad_energy(samples: Column, b: tuple[float, float, float], a: tuple[float, float]) -> Column:
-    """Sum of squares of the filtered array, without keeping it."""
-    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("x1", "x2", "y1", "y2", "e")])
+def second_order(kind: str, corner: float, q: float, rate: float, gain_db: float = 0.0) -> tuple[tuple[float, float, float], tuple[float, float]]:
+    """(b, a) of a high shelf or a high pass with its corner at a frequency, by the bilinear transform with the corner kept in place."""
+    k = math.tan(math.pi * corner / rate)
+    below = 1 + k / q + k * k
+    a = (2 * (k * k - 1) / below, (1 - k / q + k * k) / below)
+    if kind == "high pass":
+        return (1.0, -2.0, 1.0), a
+    top = 10 ** (gain_db / 20)
+    middle = top**SHELF_EXPONENT
+    return ((top + middle * k / q + k * k) / below, 2 * (k * k - top) / below, (top - middle * k / q + k * k) / below), a
+
+
+#: Fixed values of the K-weighting (ITU-R BS.1770): its shelf and its high pass, and the offset of the level.
+SHELF_EXPONENT = 0.4996667741545416
+SHELF = ("high shelf", 1681.9744509555319, 0.7071752369554193)
+SHELF_GAIN_DB = 3.99984385397
+HIGH_PASS = ("high pass", 38.13547087613982, 0.5003270373253953)
+OFFSET_DB = -0.691
+
+
+def k_weighting(rate: float) -> list[tuple]:
+    """Both stages, designed for the file's rate."""
+    return [second_order(*SHELF, rate, SHELF_GAIN_DB), second_order(*HIGH_PASS, rate)]
+
+
+def weighted_energy(samples: Column, stages: list[tuple]) -> Column:
+    """Sum of squares of an array after filters in series: one fold, which carries two past inputs and outputs of each stage."""
+    names = [f"{x}{i}" for i in range(len(stages)) for x in ("x1_", "x2_", "y1_", "y2_")]
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in names], F.lit(0.0).alias("e"))
 
     def step(s, x):
-        y = b[0] * x + b[1] * s["x1"] + b[2] * s["x2"] - a[0] * s["y1"] - a[1] * s["y2"]
-        return F.struct(x.cast("double").alias("x1"), s["x1"].alias("x2"), y.alias("y1"), s["y1"].alias("y2"), (s["e"] + y * y).alias("e"))
+        value, fields = x.cast("double"), []
+        for i, (b, a) in enumerate(stages):
+            out = b[0] * value + b[1] * s[f"x1_{i}"] + b[2] * s[f"x2_{i}"] - a[0] * s[f"y1_{i}"] - a[1] * s[f"y2_{i}"]
+            fields += [value.alias(f"x1_{i}"), s[f"x1_{i}"].alias(f"x2_{i}"), out.alias(f"y1_{i}"), s[f"y1_{i}"].alias(f"y2_{i}")]
+            value = out
+        return F.struct(*fields, (s["e"] + value * value).alias("e"))
 
     return F.aggregate(samples, zero, step, lambda s: s["e"])
 
 
+def k_weighted_level(df: DataFrame, key: str, order: str, value: str, rate: float) -> DataFrame:
+    """Level of each series after both stages of the K-weighting."""
+    one = _ordered(df, key, order, value)
+    power = weighted_energy(F.col("v"), k_weighting(rate)) / F.size("v")
+    return one.select(key, F.size("v").cast("long").alias("n"), F.round(OFFSET_DB + 10 * F.log10(F.greatest(power, F.lit(1e-20))), 6).alias("level_db"))
+
+
+def half_band(taps: int = 15, beta: float = 5.0) -> list[float]:
+    """A low pass at half of the band, of gain one: windowed sinc."""
+    t = np.arange(taps) - taps // 2
+    h = np.sinc(t / 2) * np.kaiser(taps, beta)
+    return (h / h.sum()).tolist()
+
+
+def decimated(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """(key, order, value) at half the rate; what lies beyond an end is silence. Neighbours are read by a window, so no series is gathered."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(key).orderBy(order)
+    h = half_band()
+    middle = len(h) // 2
+    near = lambda k: F.col(value) if k == 0 else F.lead(value, k).over(w) if k > 0 else F.lag(value, -k).over(w)
+    out = sum((F.lit(c) * F.coalesce(near(j - middle), F.lit(0.0)) for j, c in enumerate(h)), F.lit(0.0))
+    return df.withColumn("_y", out).filter(F.pmod(order, F.lit(2)) == 0).select(key, (F.col(order) / 2).cast("long").alias(order), F.col("_y").alias(value))
+
+
+def prominences(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, prominence) of the local maxima: how far one has to come down before ground higher than the peak begins, on the higher of both sides."""
+    peaks = np.flatnonzero((x[1:-1] > x[:-2]) & (x[1:-1] > x[2:])) + 1
+    out = np.zeros(len(peaks))
+    for side in (1, -1):
+        y = x[::side]
+        lowest = np.zeros(len(y))
+        stack: list[tuple[float, float]] = []  # heights that fall, each with the lowest ground since the one before it
+        for i, v in enumerate(y.tolist()):
+            low = v
+            while stack and stack[-1][0] <= v:
+                low = min(low, stack.pop()[1])
+            lowest[i] = low
+            stack.append((v, low))
+        base = lowest[::side][peaks]
+        out = base if side == 1 else np.maximum(out, base)
+    return peaks, x[peaks] - out
+
+
+def peaks(df: DataFrame, key: str, order: str, value: str, least: float) -> DataFrame:
+    def kernel(v):
+        at, height = prominences(v)
+        ok = height >= least
+        return {"at": at[ok].astype(np.int64), "prominence": np.round(height[ok], 6)}
+
+    return _per_row(_ordered(df, key, order, value), key, kernel, f"{key} long, at long, prominence double")
+
+
 def _ordered(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """One row per group with its values in order."""
     return df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("v"))
 
 
-def biquad_level(df: DataFrame, key: str, order: str, value: str, b=(1.0, -2.0, 1.0), a=(-1.69, 0.7327)) -> DataFrame:
-    """Level in dB of each series after a high-pass biquad."""
-    one = _ordered(df, key, order, value)
-    return one.select(key, F.size("v").cast("long").alias("n"), F.round(10 * F.log10(F.greatest(biquad_energy(F.col("v"), b, a) / F.size("v"), F.lit(1e-20))), 6).alias("level_db"))
-
-
 def _per_row(df: DataFrame, key: str, kernel, schema: str) -> DataFrame:
     """Apply kernel(array) -> dict of equal-length arrays to each row's array ``v``."""
 
@@ -88,10 +168,10 @@ def welch_psd(x: np.ndarray, size: int) -> np.ndarray:
     return power.mean(0)
 
 
-def welch(df: DataFrame, key: str, order: str, value: str, size: int) -> DataFrame:
+def welch(df: DataFrame, key: str, order: str, value: str, size: int, places: int = 3) -> DataFrame:
     def kernel(v):
         p = welch_psd(v, size)
-        return {"bin": np.arange(len(p), dtype=np.int64), "frequency": np.arange(len(p)) / min(size, len(v)), "power": np.round(p, 6)}
+        return {"bin": np.arange(len(p), dtype=np.int64), "frequency": np.arange(len(p)) / min(size, len(v)), "power": np.round(p, places)}
 
     return _per_row(_ordered(df, key, order, value), key, kernel, f"{key} long, bin long, frequency double, power double")
 
@@ -128,24 +208,33 @@ def novelty(df: DataFrame, key: str, order: str, value: str, lags: int = 4, size
     return _per_row(_ordered(df, key, order, value), key, kernel, f"{key} long, at long, strength double")
 
 
-def oversampled_peak(x: np.ndarray, factor: int = 4, taps: int = 12) -> float:
-    """Largest magnitude between samples, by a windowed-sinc interpolator; blocks that cannot beat the best sample's bound are skipped."""
+def interpolators(factor: int, taps: int = 12) -> list[list[float]]:
+    """For each place between two samples: the weights of the samples around."""
     t = np.arange(-taps, taps + 1)
-    best = float(np.abs(x).max(initial=0.0))
+    return [(np.sinc(t - k / factor) * np.kaiser(2 * taps + 1, 5.0)).tolist() for k in range(1, factor)]
+
+
+def between(x: np.ndarray, factor: int, taps: int = 12) -> np.ndarray:
+    """The series at ``factor`` times its rate; samples stay as they are."""
     padded = np.pad(x, taps)
-    for k in range(1, factor):
-        d = t - k / factor
-        h = np.sinc(d) * np.kaiser(2 * taps + 1, 5.0)
-        if best >= np.abs(x).max(initial=0.0) * np.abs(h).sum():
-            continue
-        y = np.convolve(padded, h[::-1], mode="valid")
-        best = max(best, float(np.abs(y).max(initial=0.0)))
-    return best
+    return np.stack([x, *[np.correlate(padded, np.array(h), mode="valid") for h in interpolators(factor, taps)]], axis=1).ravel()
+
+
+def oversampled_peak(x: np.ndarray, factor: int = 4, taps: int = 12) -> float:
+    """Largest magnitude between samples. Runs of samples that cannot reach the best one so far, by the sum of the weights' magnitudes, are not interpolated."""
+    best = float(np.abs(x).max(initial=0.0))
+    bound = max(sum(map(abs, h)) for h in interpolators(factor, taps))
+    near = np.lib.stride_tricks.sliding_window_view(np.pad(np.abs(x), taps), 2 * taps + 1).max(axis=1)
+    if (near * bound <= best).all():
+        return best
+    return max(best, float(np.abs(between(x, factor, taps)).max(initial=0.0)))
 
 
-def true_peak(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
+def true_peak(df: DataFrame, key: str, order: str, value: str, ceiling: float) -> DataFrame:
+    """Sample peak, peaks between samples at 4 and 16 times the rate, and how many runs at 4 times the rate lie over a ceiling."""
     def kernel(v):
-        p = oversampled_peak(v)
-        return {"true_peak": np.array([round(p, 6)]), "sample_peak": np.array([float(np.abs(v).max(initial=0.0))])}
+        over = np.abs(between(v, 4)) > ceiling
+        runs = int((np.diff(np.r_[0, over.astype(np.int8)]) == 1).sum())
+        return {"true_peak": np.array([round(oversampled_peak(v), 6)]), "true_peak_16": np.array([round(oversampled_peak(v, 16), 6)]), "sample_peak": np.array([float(np.abs(v).max(initial=0.0))]), "over_runs": np.array([runs])}
 
-    return _per_row(_ordered(df, key, order, value), key, kernel, f"{key} long, true_peak double, sample_peak double")
+    return _per_row(_ordered(df, key, order, value), key, kernel, f"{key} long, true_peak double, true_peak_16 double, sample_peak double, over_runs long")

@@ -5,11 +5,15 @@ from __future__ import annotations
 import difflib
 import zlib
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kelpie.functions.naming import unaccented
+
 #: Frequent words of each language.
 STOP_WORDS = {
     "de": ("der", "die", "und", "das", "ist", "nicht", "ein", "mit", "den", "von"),
@@ -18,6 +22,44 @@ STOP_WORDS = {
     "fr": ("le", "les", "des", "une", "est", "dans", "pour", "que", "qui", "avec"),
 }
 
+#: Frequent words of eight languages without accents, ranges of scripts, and the language that a script tells.
+LANGUAGE_WORDS = {
+    "en": "the a an and or but if of to in it is was you i me my we they he she that this with for on at be have do not no my your all so what when know like just".split(),
+    "es": "el la los las de que y en un una por con no me te se lo para mi si como mas pero yo tu su ya".split(),
+    "fr": "le la les de des et en un une que qui pour dans pas je tu il elle nous vous sur ne plus mais comme".split(),
+    "de": "der die das und ist ich nicht du mit sie es ein eine den dem auf fur war wir aber wie noch nur".split(),
+    "pt": "o a os as de que e em um uma por com nao me te se para meu mais mas eu voce ja como".split(),
+    "it": "il lo la i gli le di che e in un una per con non mi ti si ma piu come sono anche".split(),
+    "vi": "va la cua co khong nguoi mot nhung den cho toi anh em minh nay duoc trong ra ve khi con".split(),
+    "id": "yang dan di ke dari untuk dengan tidak aku kamu ini itu ada akan saya kita bisa sudah".split(),
+}
+SCRIPTS = (
+    ("han", 0x4E00, 0x9FFF), ("hiragana", 0x3040, 0x309F), ("katakana", 0x30A0, 0x30FF), ("hangul", 0xAC00, 0xD7AF), ("cyrillic", 0x0400, 0x04FF),
+    ("arabic", 0x0600, 0x06FF), ("devanagari", 0x0900, 0x097F), ("thai", 0x0E00, 0x0E7F), ("hebrew", 0x0590, 0x05FF), ("greek", 0x0370, 0x03FF),
+)
+SCRIPT_LANGUAGE = {"hangul": "ko", "thai": "th", "arabic": "ar", "cyrillic": "ru", "devanagari": "hi", "hebrew": "he", "greek": "el"}
+
+
+def language_of(df: DataFrame, id_: str, text: str) -> DataFrame:
+    """(id, language, confidence): by script where one other than Latin leads, else by the largest share of frequent words."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    counts = df.select(id_, F.regexp_count(t, F.lit(r"\p{L}")).alias("letters"), *[F.regexp_count(t, F.lit(rf"[\x{{{lo:x}}}-\x{{{hi:x}}}]")).alias(f"n_{name}") for name, lo, hi in SCRIPTS], F.regexp_extract_all(F.lower(unaccented(t)), F.lit(r"\p{L}+(?:'\p{L}+)?"), F.lit(0)).alias("w"))
+    entry = lambda n, i, name: F.struct((-n).alias("k"), F.lit(i).alias("i"), F.lit(name).alias("name"))
+    others = sum((F.col(f"n_{name}") for name, _, _ in SCRIPTS), F.lit(0))
+    top = F.array_min(F.array(entry(F.col("letters") - others, 0, "latin"), *[entry(F.col(f"n_{name}"), i + 1, name) for i, (name, _, _) in enumerate(SCRIPTS)]))
+    share = lambda listed: F.round(F.size(F.filter("w", lambda x: x.isin(*listed))) / F.size("w"), 9)
+    ranked = F.array_sort(F.array(*[entry(share(listed), i, lang) for i, (lang, listed) in enumerate(LANGUAGE_WORDS.items())]))
+    # Each is a column of its own, so that it is worked out once for a row.
+    c = counts.filter("letters >= 0").withColumn("top", top).withColumn("ranked", F.when((F.col("top.name") == "latin") & (F.size("w") > 0), ranked))
+    part = -F.col("top.k") / F.col("letters")
+    language = F.when(F.col("letters") == 0, None)
+    for script, lang in SCRIPT_LANGUAGE.items():
+        language = language.when((F.col("top.name") == script) & (part > 0.3), lang)
+    language = language.when(F.col("top.name").isin("han", "hiragana", "katakana"), F.when(F.col("n_hiragana") + F.col("n_katakana") > 0, "ja").otherwise("zh")).otherwise(F.col("ranked")[0]["name"])
+    sure = (-F.col("ranked")[0]["k"] > 0.08) & (F.col("ranked")[1]["k"] - F.col("ranked")[0]["k"] > 0.02)
+    confidence = F.when(F.col("letters") == 0, "none").when(F.col("top.name") != "latin", "medium").when(sure, "medium").otherwise("low")
+    return c.select(id_, language.alias("language"), confidence.alias("confidence"))
+
 
 def words(text: Column) -> Column:
     """Runs of letters, in lower case."""
@@ -82,3 +124,51 @@ def compression_ratio(text: pd.Series) -> pd.Series:
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-blocks ratio of two strings."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
+
+
+def most_repeated(tokens: list[str], least: int, most: int) -> tuple[list[tuple[int, int, str]], int]:
+    """(times, n, gram) of the runs of ``least`` to ``most`` tokens that may be the most repeated or the longest repeated.
+
+    Runs are named by the run that is one shorter and their last token; only places whose shorter run is repeated go on, so little is
+    left for long runs and names are exact.
+    """
+    _, ids = np.unique(np.array(tokens, dtype=object), return_inverse=True) if tokens else (None, np.zeros(0, np.int64))
+    width = int(ids.max(initial=0)) + 1
+    at, name = np.arange(len(ids)), ids.astype(np.int64)
+    found = []
+    for n in range(2, most + 1):
+        ok = at + n - 1 < len(ids)
+        at, name = at[ok], name[ok]
+        if not len(at):
+            break
+        _, first, name, times = np.unique(name * width + ids[at + n - 1], return_index=True, return_inverse=True, return_counts=True)
+        again = times[name] > 1
+        if n >= least:
+            found += [(int(t), n, int(at[f])) for f, t in zip(first[times > 1], times[times > 1], strict=True)]
+        at, name = at[again], name[again]
+    return found, len(ids)
+
+
+def repeated_runs(df: DataFrame, id_: str, text: str, least: int = 2, most: int = 8) -> DataFrame:
+    """The most repeated and the longest repeated run of words of each text: ties by more times or words, then by the run itself. Texts without one
+    are left out. One text is one row of a kernel: nothing is exploded and nothing is shuffled."""
+    split = df.select(F.col(id_).cast("long").alias("id"), words(F.col(text)).alias("w"))
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for key, tokens in zip(batch.column("id").to_pylist(), batch.column("w").to_pylist(), strict=True):
+                tokens = tokens or []
+                found, _ = most_repeated(tokens, least, most)
+                if not found:
+                    continue
+                spell = lambda x: " ".join(tokens[x[2] : x[2] + x[1]])  # noqa: B023, E731
+                often, longest = max(x[:2] for x in found), max((n, t) for t, n, _ in found)
+                a = min(spell(x) for x in found if x[:2] == often)
+                b = min(spell(x) for x in found if (x[1], x[0]) == longest)
+                rows.append((key, a, often[1], often[0], b, longest[0], longest[1]))
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["id", "gram", "n", "times", "longest_gram", "longest_n", "longest_times"])
+
+    return split.mapInArrow(run, "id long, gram string, n int, times long, longest_gram string, longest_n int, longest_times long").withColumnRenamed("id", id_)

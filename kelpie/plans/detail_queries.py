@@ -235,7 +235,8 @@ def stream_daily_counts(spark, sf_dir):
     return observations.run_to_table(observations.daily_counts(observations.read(spark, sf_dir)), "complete")
 
 
-@query()
+@query("""WITH s AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS run FROM events),
+r AS (SELECT user_id, count(*) AS n FROM s GROUP BY user_id, event_type, run) SELECT user_id, max(n)::BIGINT AS longest FROM r GROUP BY user_id""")
 def stream_runs(spark, sf_dir):
-    """Length of the running streak of each user, by a stateful fold over micro-batches."""
-    return observations.run_to_table(observations.streaks(observations.read(spark, sf_dir)), "update")
+    """Longest streak of each user, by a stateful fold over micro-batches."""
+    return observations.run_to_table(observations.streaks(observations.read(spark, sf_dir)), "update", ["user_id"])

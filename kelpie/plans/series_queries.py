@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -277,13 +279,24 @@ def stream_session(spark, sf_dir):
     return e.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query(f"""WITH {SIGNAL} SELECT user_id, round(sum(value * cos(i % 16)) / sum(value), 6) AS centroid, round(sqrt(greatest(0, sum(value * (i % 16) * (i % 16)) / sum(value) - (sum(value * (i % 16)) / sum(value)) ** 2)), 6) AS spread, round(exp(avg(ln(value + 1e-9))) / avg(value + 1e-9), 6) AS flatness FROM sig GROUP BY user_id""")
+@query(f"""WITH {SIGNAL}, m AS (SELECT user_id, sum(value * (i % 16)) / sum(value) AS c FROM sig GROUP BY user_id),
+d AS (SELECT user_id, c, value AS v, i % 16 - c AS f FROM sig JOIN m USING (user_id)), q AS (SELECT user_id, any_value(c) AS c, sum(v * f ** 2) / sum(v) AS m2, sum(v * f ** 3) / sum(v) AS m3, sum(v * f ** 4) / sum(v) AS m4, exp(avg(ln(v + 1e-9))) / avg(v + 1e-9) AS flat FROM d GROUP BY user_id),
+b AS (SELECT user_id, i % 16 AS f, sum(value) AS v FROM sig GROUP BY ALL), r AS (SELECT user_id, f, sum(v) OVER (PARTITION BY user_id ORDER BY f) / sum(v) OVER (PARTITION BY user_id) AS share FROM b), o AS (SELECT user_id, min(f) AS roll FROM r WHERE share >= 0.85 GROUP BY user_id)
+SELECT user_id, round(c, 6) AS centroid, round(sqrt(m2), 6) AS spread, round(CASE WHEN m2 > 0 THEN m3 / m2 ** 1.5 END, 6) AS skewness, round(CASE WHEN m2 > 0 THEN m4 / m2 ** 2 END, 6) AS kurtosis, round(flat, 6) AS flatness, roll::INT AS rolloff FROM q JOIN o USING (user_id)""")
 def spectrum_descriptors(spark, sf_dir):
-    """Energy-weighted moments and flatness by partial aggregates."""
-    s = samples(spark, sf_dir).withColumn("f", F.col("i") % 16)
+    """Centroid, spread, skewness, kurtosis, flatness and rolloff of a spectrum of sixteen bins, by partial aggregates."""
+    s = samples(spark, sf_dir).withColumn("f", (F.col("i") % 16).cast("double"))
     v, f = F.col("value"), F.col("f")
-    mean = F.sum(v * f) / F.sum(v)
-    return s.groupBy("user_id").agg(F.round(F.sum(v * F.cos(f)) / F.sum(v), 6).alias("centroid"), F.round(F.sqrt(F.greatest(F.lit(0.0), F.sum(v * f * f) / F.sum(v) - mean * mean)), 6).alias("spread"), F.round(F.exp(F.avg(F.log(v + 1e-9))) / F.avg(v + 1e-9), 6).alias("flatness"))
+    bins = s.groupBy("user_id", "f").agg(F.sum(v).alias("v"), F.sum(F.log(v + 1e-9)).alias("logs"), F.count("*").alias("n"))
+    moment = lambda k: F.sum(F.col("v") * F.pow(f, F.lit(float(k)))) / F.sum("v")
+    listed = F.array_sort(F.collect_list(F.struct("f", "v")))
+    g = bins.groupBy("user_id").agg(*[moment(k).alias(f"r{k}") for k in (1, 2, 3, 4)], (F.exp(F.sum("logs") / F.sum("n")) / (F.sum("v") / F.sum("n") + 1e-9)).alias("flat"), F.sum("v").alias("all"), listed.alias("bins"))
+    c, r2, r3, r4 = (F.col(f"r{k}") for k in (1, 2, 3, 4))
+    m2, m3, m4 = r2 - c * c, r3 - 3 * c * r2 + 2 * c * c * c, r4 - 4 * c * r3 + 6 * c * c * r2 - 3 * F.pow(c, F.lit(4.0))
+    upto = F.filter("bins", lambda b: F.aggregate(F.filter("bins", lambda x: x["f"] <= b["f"]), F.lit(0.0), lambda t, x: t + x["v"]) / F.col("all") >= 0.85)
+    out = g.select("user_id", c.alias("c"), F.greatest(m2, F.lit(0.0)).alias("m2"), m3.alias("m3"), m4.alias("m4"), "flat", upto[0]["f"].cast("int").alias("rolloff"))
+    some = F.col("m2") > 0
+    return out.select("user_id", F.round("c", 6).alias("centroid"), F.round(F.sqrt("m2"), 6).alias("spread"), F.round(F.when(some, F.col("m3") / F.pow("m2", F.lit(1.5))), 6).alias("skewness"), F.round(F.when(some, F.col("m4") / (F.col("m2") * F.col("m2"))), 6).alias("kurtosis"), F.round("flat", 6).alias("flatness"), "rolloff")
 
 
 @query(f"""WITH {SIGNAL}, d AS (SELECT user_id, ts AS t, 1 AS x FROM sig UNION ALL SELECT user_id, ts + INTERVAL 8 HOUR, -1 FROM sig), r AS (SELECT user_id, t, sum(x) AS x FROM d GROUP BY ALL),
@@ -306,16 +319,47 @@ def loudest_window(spark, sf_dir):
     return g.select("user_id", F.col("b.i").alias("start"), F.round(10 * F.log10("ms"), 6).alias("level_db"), F.round(20 * F.log10("b.peak") - 10 * F.log10("ms"), 5).alias("crest_db"))
 
 
-@query()
+_WELCH = """n AS (SELECT user_id, count(*) AS n, least(64, count(*)) AS size FROM sig GROUP BY user_id), frames AS (SELECT user_id, size, unnest(range(0, n - size + 1, greatest(1, size // 2))) AS s FROM n),
+x AS (SELECT f.user_id, f.s, f.size, g.i - f.s AS j, value - avg(value) OVER (PARTITION BY f.user_id, f.s) AS v, 0.5 - 0.5 * cos(2 * pi() * (g.i - f.s) / f.size) AS w FROM frames f JOIN sig g ON g.user_id = f.user_id AND g.i >= f.s AND g.i < f.s + f.size),
+d AS (SELECT user_id, s, size, bin, sum(v * w * cos(2 * pi() * bin * j / size)) AS re, sum(v * w * sin(2 * pi() * bin * j / size)) AS im, sum(w * w) AS ww FROM x, range(33) b(bin) WHERE bin <= size // 2 GROUP BY ALL),
+psd AS (SELECT user_id, bin, bin / size AS frequency, avg((re * re + im * im) / ww * CASE WHEN bin = 0 OR (size % 2 = 0 AND bin = size // 2) THEN 1 ELSE 2 END) AS power FROM d GROUP BY user_id, bin, size)"""
+
+
+@query(f"WITH {SIGNAL}, {_WELCH} SELECT user_id, bin, frequency, round(power, 3) AS power FROM psd")
 def welch_psd(spark, sf_dir):
     """Welch spectrum of each user's series: Hann windows of 64 with half overlap."""
     return signal.welch(samples(spark, sf_dir), "user_id", "i", "value", 64)
 
 
-@query()
+@query(f"""WITH {SIGNAL}, {_WELCH}, t AS (SELECT user_id, max(power) AS top, sum(power) AS total FROM psd WHERE bin > 0 GROUP BY user_id)
+SELECT user_id, max(frequency) FILTER (power >= top * 0.5) AS cutoff, round(sum(power) FILTER (frequency < 0.125) / any_value(total), 4) AS low_share, round(sum(power) FILTER (frequency >= 0.125 AND frequency < 0.25) / any_value(total), 4) AS middle_share,
+  round(sum(power) FILTER (frequency >= 0.25) / any_value(total), 4) AS high_share FROM psd JOIN t USING (user_id) WHERE bin > 0 GROUP BY user_id""")
+def band_shares(spark, sf_dir):
+    """Power by octave bands, and the highest frequency within 3 dB of the strongest bin."""
+    p = signal.welch(samples(spark, sf_dir), "user_id", "i", "value", 64, places=9).filter("bin > 0")
+    g = p.join(p.groupBy("user_id").agg(F.max("power").alias("top"), F.sum("power").alias("total")), "user_id")
+    f = F.col("frequency")
+    share = lambda test: F.round(F.sum(F.when(test, F.col("power"))) / F.any_value("total"), 4)
+    return g.groupBy("user_id").agg(F.max(F.when(F.col("power") >= F.col("top") * 0.5, f)).alias("cutoff"), share(f < 0.125).alias("low_share"), share((f >= 0.125) & (f < 0.25)).alias("middle_share"), share(f >= 0.25).alias("high_share"))
+
+
+_STAY, _GAIN = math.log(0.86), 2.0
+_STATES = ("cart", "click", "error", "purchase", "signup", "view")
+
+
+@query(f"""WITH RECURSIVE {SIGNAL}, names AS (SELECT list(event_type ORDER BY event_type) AS names, count(*) AS k FROM (SELECT DISTINCT event_type FROM events)),
+steps AS (SELECT user_id, i, list_position(names, event_type) AS o, k FROM sig, names),
+go AS (SELECT user_id, i, list_transform(range(1, k + 1), lambda s: CASE WHEN s = o THEN {_GAIN} ELSE 0.0 END)::DOUBLE[] AS best, NULL::BIGINT AS lead, NULL::DOUBLE[] AS kept, NULL::DOUBLE AS top, k FROM steps WHERE i = 0
+  UNION ALL SELECT t.user_id, t.i, list_transform(g.best, lambda v, s: greatest(v + {_STAY!r}, list_max(g.best) + ({math.log(1 - 0.86)!r} - ln(greatest(1, t.k - 1)))) + CASE WHEN s = t.o THEN {_GAIN} ELSE 0.0 END), list_position(g.best, list_max(g.best)),
+  list_transform(g.best, lambda v: v + {_STAY!r}), list_max(g.best) + ({math.log(1 - 0.86)!r} - ln(greatest(1, t.k - 1))), t.k FROM go g JOIN steps t ON t.user_id = g.user_id AND t.i = g.i + 1),
+ends AS (SELECT user_id, max(i) AS last FROM go GROUP BY user_id),
+back AS (SELECT g.user_id, g.i, list_position(g.best, list_max(g.best)) AS s FROM go g JOIN ends e ON e.user_id = g.user_id AND g.i = e.last
+  UNION ALL SELECT b.user_id, b.i - 1, CASE WHEN g.top > g.kept[b.s] THEN g.lead ELSE b.s END FROM back b JOIN go g ON g.user_id = b.user_id AND g.i = b.i WHERE b.i > 0),
+c AS (SELECT user_id, i, s, CASE WHEN s = lag(s) OVER (PARTITION BY user_id ORDER BY i) THEN 0 ELSE 1 END AS ch FROM back), r AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY i) AS run FROM c)
+SELECT user_id, min(i)::BIGINT AS start, count(*)::BIGINT AS length, any_value(names[s]) AS state FROM r, names GROUP BY user_id, run""")
 def viterbi_path(spark, sf_dir):
     """Smoothed state path over event types."""
-    return music.viterbi_states(samples(spark, sf_dir), "user_id", "i", "event_type")
+    return music.smoothed_states(samples(spark, sf_dir), "user_id", "i", "event_type", 0.86, _GAIN)
 
 
 @query()
@@ -324,16 +368,111 @@ def foote_novelty(spark, sf_dir):
     return signal.novelty(samples(spark, sf_dir), "user_id", "i", "value")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SIGNAL}, go AS (SELECT user_id, i, 0 AS start, value AS ref, 0 AS off, NULL::BIGINT AS from_, NULL::BIGINT AS to_ FROM sig WHERE i = 0
+  UNION ALL SELECT s.user_id, s.i, CASE WHEN abs(s.value - g.ref) > 20 AND g.off = 1 THEN s.i - 1 ELSE g.start END, CASE WHEN abs(s.value - g.ref) > 20 THEN CASE WHEN g.off = 1 THEN s.value ELSE g.ref END ELSE 0.7 * g.ref + 0.3 * s.value END,
+  CASE WHEN abs(s.value - g.ref) > 20 AND g.off = 0 THEN 1 ELSE 0 END, CASE WHEN abs(s.value - g.ref) > 20 AND g.off = 1 THEN g.start END, CASE WHEN abs(s.value - g.ref) > 20 AND g.off = 1 THEN s.i - 1 END
+  FROM go g JOIN sig s ON s.user_id = g.user_id AND s.i = g.i + 1),
+spans AS (SELECT user_id, from_ AS start, to_ AS stop FROM go WHERE from_ IS NOT NULL UNION ALL SELECT user_id, arg_max(start, i), max(i) + 1 FROM go GROUP BY user_id)
+SELECT s.user_id, s.start::BIGINT AS start, (stop - s.start)::BIGINT AS length, round(median(value), 6) AS level FROM spans s JOIN sig ON sig.user_id = s.user_id AND sig.i >= s.start AND sig.i < stop WHERE stop - s.start >= 2 GROUP BY ALL""")
 def note_segments(spark, sf_dir):
     return music.segment_notes(samples(spark, sf_dir), "user_id", "i", "value")
 
 
-@query()
+def _between(factor: int) -> str:
+    weights = "[" + ", ".join("[" + ", ".join(repr(x) for x in h) + "]" for h in signal.interpolators(factor)) + "]"
+    return f"SELECT a.user_id, a.i * {factor} + k AS t, sum(b.value * {weights}[k][(b.i - a.i + 13)::INT]) AS y FROM sig a JOIN sig b ON b.user_id = a.user_id AND b.i BETWEEN a.i - 12 AND a.i + 12, range(1, {factor}) r(k) GROUP BY ALL UNION ALL SELECT user_id, i * {factor}, value FROM sig"
+
+
+@query(f"""WITH {SIGNAL}, four AS ({_between(4)}), sixteen AS ({_between(16)}), o AS (SELECT user_id, t - row_number() OVER (PARTITION BY user_id ORDER BY t) AS run FROM four WHERE abs(y) > 60), r AS (SELECT user_id, count(DISTINCT run) AS n FROM o GROUP BY user_id)
+SELECT f.user_id, round(max(abs(y)), 6) AS true_peak, any_value(p.y16) AS true_peak_16, any_value(p.sample_peak) AS sample_peak, coalesce(any_value(r.n), 0)::BIGINT AS over_runs FROM four f
+JOIN (SELECT user_id, round(max(abs(y)), 6) AS y16, max(CASE WHEN t % 16 = 0 THEN abs(y) END) AS sample_peak FROM sixteen GROUP BY user_id) p ON p.user_id = f.user_id LEFT JOIN r ON r.user_id = f.user_id GROUP BY f.user_id""")
 def true_peak(spark, sf_dir):
-    return signal.true_peak(samples(spark, sf_dir), "user_id", "i", "value")
+    """Peaks between samples at 4 and 16 times the rate, and runs over a ceiling."""
+    return signal.true_peak(samples(spark, sf_dir), "user_id", "i", "value", 60.0)
 
 
-@query()
+def _stage(stage: tuple, x: str, k: int) -> str:
+    b, a = stage
+    return f"({b[0]!r} * {x} + {b[1]!r} * g.p{k} + {b[2]!r} * g.q{k} - {a[0]!r} * g.u{k} - {a[1]!r} * g.w{k})"
+
+
+_K = signal.k_weighting(48000.0)
+_FIRST = _stage(_K[0], "s.value", 0)
+
+
+@query(f"""WITH RECURSIVE {SIGNAL}, go AS (SELECT DISTINCT user_id, -1::BIGINT AS i, 0.0::DOUBLE AS p0, 0.0::DOUBLE AS q0, 0.0::DOUBLE AS u0, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS p1, 0.0::DOUBLE AS q1, 0.0::DOUBLE AS u1, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS e FROM sig
+  UNION ALL SELECT s.user_id, s.i, s.value, g.p0, {_FIRST}, g.u0, {_FIRST}, g.p1, {_stage(_K[1], _FIRST, 1)}, g.u1, g.e + {_stage(_K[1], _FIRST, 1)} ** 2 FROM go g JOIN sig s ON s.user_id = g.user_id AND s.i = g.i + 1)
+SELECT user_id, (max(i) + 1)::BIGINT AS n, round(-0.691 + 10 * log10(greatest(arg_max(e, i) / (max(i) + 1), 1e-20)), 6) AS level_db FROM go GROUP BY user_id""")
 def k_weighted_level(spark, sf_dir):
-    return signal.biquad_level(samples(spark, sf_dir), "user_id", "i", "value")
+    """Level after both stages of the K-weighting, designed for the rate."""
+    return signal.k_weighted_level(samples(spark, sf_dir), "user_id", "i", "value", 48000.0)
+
+
+_HALF = signal.half_band()
+
+
+@query(f"""WITH {SIGNAL} SELECT a.user_id, (a.i // 2)::BIGINT AS i, round(sum(b.value * [{', '.join(map(repr, _HALF))}][(b.i - a.i + 8)::INT]), 6) AS value FROM sig a JOIN sig b ON b.user_id = a.user_id AND b.i BETWEEN a.i - 7 AND a.i + 7 WHERE a.i % 2 = 0 GROUP BY a.user_id, a.i""")
+def decimate(spark, sf_dir):
+    """Half the rate, after a low pass of fifteen taps."""
+    return signal.decimated(samples(spark, sf_dir), "user_id", "i", "value").withColumn("value", F.round("value", 6))
+
+
+@query(f"""WITH {SIGNAL}, p AS (SELECT user_id, i, value AS v FROM sig WINDOW w AS (PARTITION BY user_id ORDER BY i) QUALIFY value > lag(value) OVER w AND value > lead(value) OVER w),
+l AS (SELECT p.user_id, p.i, max(s.i) FILTER (s.i < p.i AND s.value > p.v) AS a, min(s.i) FILTER (s.i > p.i AND s.value > p.v) AS b FROM p JOIN sig s USING (user_id) GROUP BY ALL),
+m AS (SELECT p.user_id, p.i, any_value(p.v) AS v, min(s.value) FILTER (s.i <= p.i AND s.i > coalesce(a, -1)) AS left_, min(s.value) FILTER (s.i >= p.i AND s.i < coalesce(b, 1e18)) AS right_ FROM p JOIN l ON l.user_id = p.user_id AND l.i = p.i JOIN sig s ON s.user_id = p.user_id GROUP BY p.user_id, p.i)
+SELECT user_id, i::BIGINT AS at, round(v - greatest(left_, right_), 6) AS prominence FROM m WHERE v - greatest(left_, right_) >= 15""")
+def prominent_peaks(spark, sf_dir):
+    """Local maxima that stand out from the ground around them."""
+    return signal.peaks(samples(spark, sf_dir), "user_id", "i", "value", 15.0)
+
+
+def _chords() -> list[tuple[str, list[float], int]]:
+    """Templates of 13 qualities on 12 roots: (name, weights less their mean, tones beyond three)."""
+    out = []
+    for root in range(12):
+        for tones, suffix in music.QUALITIES:
+            w = [1.0 if (k - root) % 12 in tones else 0.0 for k in range(12)]
+            out.append((exprs.NOTE_NAMES[root] + suffix, [x - sum(w) / 12 for x in w], len(tones) - 3))
+    return out
+
+
+@query(f"""WITH {SIGNAL}, h AS (SELECT user_id, i // 12 AS bar, (event_id % 12)::INT AS pc, sum(value) AS v FROM sig GROUP BY ALL), b AS (SELECT DISTINCT user_id, bar FROM h),
+c AS (SELECT b.user_id, b.bar, pc, coalesce(v, 0) AS v FROM b CROSS JOIN range(12) t(pc) LEFT JOIN h USING (user_id, bar, pc)),
+q AS (SELECT unnest([{', '.join(f"{{'name': '{n}', 'w': {w!r}, 'extra': {e}}}" for n, w, e in _chords())}], recursive := true)),
+s AS (SELECT user_id, bar, name, corr(v, w[pc + 1]) - 0.08 * any_value(extra) AS score FROM c, q GROUP BY ALL)
+SELECT user_id, bar::BIGINT AS bar, CASE WHEN max(score) >= 0.3 THEN arg_min(name, (-round(score, 9), name)) ELSE 'N' END AS chord, round(max(score), 6) AS score FROM s WHERE NOT isnan(score) AND score IS NOT NULL GROUP BY user_id, bar""")
+def chord_track(spark, sf_dir):
+    """The chord of each bar: 13 qualities on 12 roots by correlation with the bar's pitch classes, four tones at a cost; N where none fits."""
+    h = samples(spark, sf_dir).groupBy("user_id", F.floor(F.col("i") / 12).cast("long").alias("bar")).agg(F.array(*[F.coalesce(F.sum(F.when(F.pmod("event_id", F.lit(12)) == k, F.col("value"))), F.lit(0.0)) for k in range(12)]).alias("chroma"))
+    return music.chords_of(h, "chroma", _chords(), 0.08, 0.3).select("user_id", "bar", "chord", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {SIGNAL}, d AS (SELECT user_id, i, value - avg(value) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS x FROM sig),
+z AS (SELECT user_id, i, x, CASE WHEN x * lag(x) OVER (PARTITION BY user_id ORDER BY i) < 0 THEN 1 ELSE 0 END AS crossing FROM d)
+SELECT user_id, round(sum(crossing) / 2.0 / count(*), 6) AS rate, round(sqrt(2 * avg(x * x)), 6) AS extent, (sum(crossing) / 2.0 / count(*) BETWEEN 0.2 AND 0.45) AS is_vibrato FROM z GROUP BY user_id""")
+def vibrato(spark, sf_dir):
+    """Rate and extent of the swing around a running mean."""
+    w = Window.partitionBy("user_id").orderBy("i")
+    d = samples(spark, sf_dir).withColumn("x", F.col("value") - F.avg("value").over(w.rowsBetween(-4, 4)))
+    z = d.withColumn("crossing", F.when(F.col("x") * F.lag("x").over(w) < 0, 1).otherwise(0))
+    rate = F.sum("crossing") / 2.0 / F.count("*")
+    return z.groupBy("user_id").agg(F.round(rate, 6).alias("rate"), F.round(F.sqrt(2 * F.avg(F.col("x") * F.col("x"))), 6).alias("extent"), rate.between(0.2, 0.45).alias("is_vibrato"))
+
+
+@query(f"""WITH {SIGNAL}, p AS (SELECT a.user_id, a.value AS l, b.value AS r FROM sig a JOIN sig b ON a.user_id = b.user_id AND b.i = a.i + 1 WHERE a.i % 2 = 0),
+g AS (SELECT user_id, corr(l, r) AS c, sum(l * r) / sum(l * l) AS gain, count(*) AS n, avg(((l + r) / 2) ** 2) AS mono, avg((l * l + r * r) / 2) AS both FROM p GROUP BY user_id)
+SELECT g.user_id, round(any_value(c), 6) AS correlation, round(10 * log10(any_value(mono) / any_value("both")), 6) AS mono_loss_db, CASE WHEN any_value(c) < 0.1 THEN 'refused' ELSE 'measured' END AS null_test,
+  round(CASE WHEN any_value(c) >= 0.1 THEN 10 * log10(avg((r - gain * l) ** 2) / avg(r * r)) END, 6) AS residual_db FROM p JOIN g USING (user_id) WHERE c IS NOT NULL AND NOT isnan(c) GROUP BY g.user_id""")
+def null_test(spark, sf_dir):
+    """What is left of one channel when the other, at its best gain, is taken from it; refused where the two have too little in common. And what is lost in mono."""
+    w = Window.partitionBy("user_id").orderBy("i")
+    p = samples(spark, sf_dir).withColumn("r", F.lead("value").over(w)).filter("i % 2 = 0 AND r IS NOT NULL").select("user_id", F.col("value").alias("l"), "r")
+    l, r = F.col("l"), F.col("r")
+    g = p.groupBy("user_id").agg(F.corr("l", "r").alias("c"), F.avg(l * r).alias("lr"), F.avg(l * l).alias("ll"), F.avg(r * r).alias("rr"))
+    # The residual's power follows from the three products, so the pairs are read once.
+    left = F.col("rr") - F.col("lr") * F.col("lr") / F.col("ll")
+    some = F.col("c") >= 0.1
+    return g.filter("c IS NOT NULL AND NOT isnan(c)").select(
+        "user_id", F.round("c", 6).alias("correlation"), F.round(10 * F.log10((F.col("ll") + F.col("rr") + 2 * F.col("lr")) / 2 / (F.col("ll") + F.col("rr"))), 6).alias("mono_loss_db"),
+        F.when(some, "measured").otherwise("refused").alias("null_test"), F.round(F.when(some, 10 * F.log10(left / F.col("rr"))), 6).alias("residual_db"),
+    )

@@ -35,40 +35,14 @@ def language_detect(spark, sf_dir):
     return t.select("doc_id", F.when(first["k"] < 0, first["lang"]).otherwise("unknown").alias("language"), F.when(first["k"] == 0, "low").when(second["k"] - first["k"] >= 3, "high").otherwise("medium").alias("confidence"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, {WORDS} AS w FROM documents), g AS (SELECT doc_id, n, array_to_string(w[i : i + n - 1], ' ') AS gram FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM t, range(2, 5) r(n) WHERE len(w) >= n)),
-c AS (SELECT doc_id, n, gram, count(*) AS times FROM g GROUP BY ALL HAVING count(*) > 1)
-SELECT doc_id, gram, n::INT AS n, times::BIGINT AS times FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY times DESC, n DESC, gram) = 1""")
-def repeated_ngrams(spark, sf_dir):
-    """The most repeated run of two to four words of each text (ties: the longer, then the first)."""
-    t = table(spark, sf_dir, "documents").select("doc_id", text.words(F.col("text")).alias("w"))
-    every = F.concat(*[F.transform(text.ngrams(F.col("w"), n), _with(n)) for n in (2, 3, 4)])
-    c = t.select("doc_id", F.explode(every).alias("g")).groupBy("doc_id", "g.n", "g.gram").agg(F.count("*").alias("times")).filter("times > 1")
-    best = c.groupBy("doc_id").agg(F.min(F.struct((-F.col("times")).alias("a"), (-F.col("n")).alias("b"), "gram")).alias("x"))
-    return best.select("doc_id", "x.gram", (-F.col("x.b")).cast("int").alias("n"), (-F.col("x.a")).alias("times"))
-
-
 @query(f"""WITH t AS (SELECT doc_id, {WORDS} AS w FROM documents), g AS (SELECT doc_id, n, array_to_string(w[i : i + n - 1], ' ') AS gram FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM t, range(2, 9) r(n) WHERE len(w) >= n)),
 c AS (SELECT doc_id, n, gram, count(*) AS times FROM g GROUP BY ALL HAVING count(*) > 1),
 m AS (SELECT doc_id, gram, n::INT AS n, times::BIGINT AS times FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY times DESC, n DESC, gram) = 1),
 l AS (SELECT doc_id, gram AS longest_gram, n::INT AS longest_n, times::BIGINT AS longest_times FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, times DESC, gram) = 1)
 SELECT * FROM m JOIN l USING (doc_id)""")
-def repeated_ngrams_whole(spark, sf_dir):
+def repeated_ngrams(spark, sf_dir):
     """The most repeated run of two to eight words of each text (ties: the longer, then the first), and the longest repeated one (ties: the more often, then the first)."""
-    return _repeated(table(spark, sf_dir, "documents"))
-
-
-def _repeated(docs):
-    t = docs.select("doc_id", text.words(F.col("text")).alias("w"))
-    every = F.concat(*[F.transform(text.ngrams(F.col("w"), n), _with(n)) for n in range(2, 9)])
-    c = t.select("doc_id", F.explode(every).alias("g")).groupBy("doc_id", "g.n", "g.gram").agg(F.count("*").alias("times")).filter("times > 1")
-    a, b = (-F.col("times")).alias("a"), (-F.col("n")).alias("b")
-    best = c.groupBy("doc_id").agg(F.min(F.struct(a, b, "gram")).alias("x"), F.min(F.struct(b, a, "gram")).alias("y"))
-    out = lambda k, name: [F.col(f"{k}.gram").alias(f"{name}gram"), (-F.col(f"{k}.b")).cast("int").alias(f"{name}n"), (-F.col(f"{k}.a")).alias(f"{name}times")]
-    return best.select("doc_id", *out("x", ""), *out("y", "longest_"))
-
-
-def _with(n: int):
-    return lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram"))
+    return text.repeated_runs(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query("""WITH l AS (SELECT doc_id, list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), lambda x: regexp_extract(lower(x), '([a-zà-öø-ÿß'']+)[^a-zà-öø-ÿß'']*$', 1)) AS e FROM documents),

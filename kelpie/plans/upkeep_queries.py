@@ -27,8 +27,8 @@ def coverage_mask(spark, sf_dir):
 @query("""SELECT event_id, key AS path, json_extract_string(props, '$.' || key) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)""")
 def flatten_json(spark, sf_dir):
     """Every scalar of a document as (path, value), whatever its keys."""
-    table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("v")).createOrReplaceTempView("_flatten_json")
-    return spark.sql("SELECT event_id, x.key AS path, CAST(x.value AS STRING) AS value FROM _flatten_json, LATERAL variant_explode(v) AS x")
+    e = table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("v"))
+    return e.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("event_id", F.col("key").alias("path"), F.col("value").cast("string").alias("value"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN 'yes' WHEN c_acctbal <= 5000 THEN 'no' ELSE 'not-measured' END AS wealthy, CASE WHEN c_custkey % 5 = 0 THEN 'not-measured' WHEN c_mktsegment = 'BUILDING' THEN 'yes' ELSE 'no' END AS builder FROM customer""")

@@ -8,6 +8,9 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from kelpie.sources.staging import shared_dir
 
 #: Readings later than this are not waited for; the same horizon within which a repeated reading is dropped.
 LATE = "7 days"
@@ -62,12 +65,14 @@ def streaks(stream: DataFrame) -> DataFrame:
     return stream.groupBy("user_id").applyInPandasWithState(step, "user_id long, longest long", "kind string, open long, longest long", "update", "NoTimeout")
 
 
-def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run_to_table(stream: DataFrame, mode: str = "append", key: Sequence[str] = ()) -> DataFrame:
     """Run a stream until its input is used up and return what it wrote. Batches are idempotent: each is written to a folder of
-    its own number, so a batch that is run again replaces itself. In complete mode the last batch is the result."""
+    its own number, so a batch that is run again replaces itself. In complete mode the last batch is the result; in update mode, of
+    each ``key`` the row of its last batch."""
+    if mode == "update" and not key:
+        raise ValueError("update mode needs the key of its rows")
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/kelpie-stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/kelpie-stream-{uuid.uuid4().hex}"
     numbers: list[int] = []
 
     def write(batch: DataFrame, number: int) -> None:
@@ -79,4 +84,8 @@ def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
         return spark.createDataFrame([], stream.schema)
     if mode == "complete":
         return spark.read.schema(stream.schema).parquet(f"{path}/rows/batch={numbers[-1]}")
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows").select(*stream.columns)
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/rows")
+    if mode == "update":
+        last = rows.groupBy(*key).agg(F.max("batch").alias("batch"))
+        rows = rows.join(last, [*key, "batch"])
+    return rows.select(*stream.columns)

@@ -2,12 +2,12 @@
 
 from collections import Counter
 
-from kelpie.plans import text_queries
+from kelpie.operators import text
 
 
 def test_runs_of_eight_words_are_found(spark):
     texts = ["a b c d e f g h x a b c d e f g h", "a b a b a b", "a b c d e f z a b c d e f z b c y b c", "one two three", ""]
-    got = {r.doc_id: tuple(r)[1:] for r in text_queries._repeated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in text.repeated_runs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").collect()}
     want = {}
     for i, t in enumerate(texts):
         w = t.split()

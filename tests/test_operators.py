@@ -121,7 +121,7 @@ def test_biquad_is_the_recursion(spark):
         y.append(b[0] * x[i] + b[1] * g(x, i - 1) + b[2] * g(x, i - 2) - a[0] * g(y, i - 1) - a[1] * g(y, i - 2))
     col = F.array(*map(F.lit, x))
     assert one(spark, signal.biquad(col, b, a)) == pytest.approx(y)
-    assert one(spark, signal.biquad_energy(col, b, a)) == pytest.approx(sum(v * v for v in y))
+    assert one(spark, signal.weighted_energy(col, [(b, a)])) == pytest.approx(sum(v * v for v in y))
     assert one(spark, signal.blocks(col, 2, 2)) == [[1.0, 0.0], [0.5, -0.25], [0.125]]
 
 
@@ -132,7 +132,10 @@ def test_viterbi_equals_all_paths():
     s = rng.standard_normal((6, 3))
     value = lambda path: sum(s[t, k] for t, k in enumerate(path)) + sum(np.log(0.7) if a == b else np.log(0.15) for a, b in zip(path, path[1:], strict=False))
     best = max(product(range(3), repeat=6), key=value)
-    assert tuple(music.viterbi(s, 0.7)) == best
+    shorter = s[:4]
+    best4 = max(product(range(3), repeat=4), key=value)
+    got = music.smooth_paths([shorter, s, s[:0], s[:1]], 0.7)
+    assert [tuple(p) for p in got] == [best4, best, (), (int(s[0].argmax()),)]
 
 
 def test_key_and_clusters(spark):
