@@ -256,8 +256,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, bits: int = BLOOM_BITS) ->
     pairs = c.stage(hits.join(marked, "seed").select("did", "tag", "item").distinct())
     parts = F.ceil(F.count("*").over(Window.partitionBy("did", "tag")) / TOGETHER)
     beside = pairs.withColumn("part", F.pmod(F.xxhash64("item"), parts)).join(cut, "item").groupBy("did", "tag", "part").agg(F.collect_list(F.struct("item", "toks")).alias("items"))
-    # A table of its own, so that its size decides between a broadcast and a shuffle before texts move.
-    laid = c.stage(beside).join(rows, ["did", "tag"]).select("did", "tag", "items", "text")
+    # Texts are picked by their ids alone, a table of its own whose size decides between a broadcast and a shuffle. The lists of items
+    # never are a broadcast: they meet the few texts that were picked in a shuffle.
+    picked = rows.join(c.stage(pairs.select("did", "tag").distinct()), ["did", "tag"], "left_semi")
+    laid = picked.join(beside.hint("merge"), ["did", "tag"]).select("did", "tag", "items", "text")
     found = laid.mapInArrow(verify(kinds), "did long, tag long, item long, n_overlap long")
     return found.groupBy("did", "tag", "item").agg(F.max("n_overlap").alias("n_overlap"))
 
