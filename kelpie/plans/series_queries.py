@@ -362,7 +362,16 @@ def viterbi_path(spark, sf_dir):
     return music.smoothed_states(samples(spark, sf_dir), "user_id", "i", "event_type", 0.86, _GAIN)
 
 
-@query()
+_STEP = "exp(-(((b.i - a.i + 0.5) / 4.0) ** 2) / 2) * sign(b.i - a.i + 0.5)"
+
+
+@query(f"""WITH {SIGNAL}, e AS (SELECT user_id, i, value AS x1, lead(value, 1) OVER w AS x2, lead(value, 2) OVER w AS x3, lead(value, 3) OVER w AS x4 FROM sig WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+u AS (SELECT user_id, i, x1 / l AS x1, x2 / l AS x2, x3 / l AS x3, x4 / l AS x4 FROM (SELECT *, greatest(sqrt(x1 * x1 + x2 * x2 + x3 * x3 + x4 * x4), 1e-12) AS l FROM e WHERE x4 IS NOT NULL)),
+n AS (SELECT a.user_id, a.i, {' + '.join(f'sum(b.x{k} * {_STEP}) ** 2' for k in (1, 2, 3, 4))} AS n FROM u a JOIN u b ON b.user_id = a.user_id AND b.i BETWEEN a.i - 8 AND a.i + 7 GROUP BY a.user_id, a.i),
+r AS (SELECT user_id, i, CASE WHEN max(n) OVER p > min(n) OVER p THEN (n - min(n) OVER p) / (max(n) OVER p - min(n) OVER p) ELSE 0 END AS v, count(*) OVER p AS m FROM n WINDOW p AS (PARTITION BY user_id)),
+k AS (SELECT user_id, i, v FROM (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM r WHERE m >= 3 WINDOW w AS (PARTITION BY user_id ORDER BY i)) WHERE v >= 0.5 AND v > a AND v >= b),
+g AS (SELECT user_id, list_reduce(list([{{'i': i, 'v': v}}] ORDER BY v DESC, i), lambda kept, x: CASE WHEN len(list_filter(kept, lambda o: abs(o.i - x[1].i) < 4)) = 0 THEN list_concat(kept, x) ELSE kept END) AS kept FROM k GROUP BY user_id)
+SELECT user_id, o.i::BIGINT AS at, round(o.v, 6) AS strength FROM (SELECT user_id, unnest(kept) AS o FROM g)""")
 def foote_novelty(spark, sf_dir):
     """Section boundaries by a checkerboard kernel on the self-similarity of each user's series."""
     return signal.novelty(samples(spark, sf_dir), "user_id", "i", "value")

@@ -83,3 +83,31 @@ def export_rows(frames: Sequence[DataFrame], lead: Sequence[str]) -> DataFrame:
         out = out.unionByName(f, allowMissingColumns=True)
     rest = sorted(c for c in out.columns if c not in lead)
     return out.select(*[f"`{c}`" for c in lead if c in out.columns], *[f"`{c}`" for c in rest])
+
+
+def find_documents(spark: SparkSession, root: str, name: str = "analysis.json") -> DataFrame:
+    """(folder, path, size, modified) of the result documents below root, in order of folder; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root)
+    folder = F.regexp_replace("path", r"/[^/]+$", "")
+    return files.select(folder.alias("folder"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")).orderBy("folder")
+
+
+def light_scan(documents: DataFrame, sidecars: dict[str, DataFrame], key: str, fields: Sequence[str]) -> DataFrame:
+    """One row for each document: ``fields`` of it, and of each sidecar its columns under its own name; sidecars may be missing. Only these columns are read."""
+    out = documents.select(key, *fields)
+    for name, side in sidecars.items():
+        own = [F.col(x).alias(f"{name}_{x}") for x in side.columns if x != key]
+        out = out.join(side.select(key, *own, F.lit(True).alias(f"has_{name}")), key, "left").withColumn(f"has_{name}", F.coalesce(f"has_{name}", F.lit(False)))
+    return out
+
+
+def amended(blocks: DataFrame, new: DataFrame) -> DataFrame:
+    """blocks (doc, path, body) in which the blocks of ``new`` replace those of their document and path, or are added."""
+    return blocks.join(new.select("doc", "path"), ["doc", "path"], "left_anti").unionByName(new.select(*blocks.columns))
+
+
+def packed_lists(items: DataFrame, cap: int) -> DataFrame:
+    """items (doc, path, at, body) with the chunk of their list: items in order fill chunks of about ``cap`` bytes; ``offset`` is the place of a chunk's first item."""
+    before = Window.partitionBy("doc", "path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = items.withColumn("chunk", F.floor(F.coalesce(F.sum(F.octet_length("body")).over(before), F.lit(0)) / cap).cast("int"))
+    return placed.withColumn("offset", F.min("at").over(Window.partitionBy("doc", "path", "chunk")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import struct
 import wave
@@ -50,20 +51,66 @@ def decode_pcm(raw: bytes, block: int):
             number += 1
 
 
-def read_blocks(spark: SparkSession, root: str, block: int = 1 << 16) -> DataFrame:
-    """(path, rate, width, channel, block, samples): one row per block of a channel. Files that do not decode are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(root).select("path", "content")
+BLOCK_SCHEMA = "path string, rate int, width int, channel int, block int, samples array<float>, reason string"
+
+
+def decoded(files: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """Rows BLOCK_SCHEMA of files (path, content): one for each block of a channel, or one with the reason where a file does not decode."""
+
+    def row(path, rate, width, ch, number, x, reason):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([path]), *[pa.array([v], pa.int32()) for v in (rate, width, ch, number)], pa.array([x], pa.list_(pa.float32())), pa.array([reason], pa.string())], names=["path", "rate", "width", "channel", "block", "samples", "reason"]
+        )
 
     def run(batches):
         for batch in batches:
             for path, raw in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 try:
-                    for rate, width, ch, number, x in decode_pcm(raw.as_py(), block):
-                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([rate], pa.int32()), pa.array([width], pa.int32()), pa.array([ch], pa.int32()), pa.array([number], pa.int32()), pa.array([x], pa.list_(pa.float32()))], names=["path", "rate", "width", "channel", "block", "samples"])
+                    for rate, width, ch, number, x in decode_pcm(raw.as_py() or b"", block):
+                        yield row(path, rate, width, ch, number, x, None)
+                except (wave.Error, EOFError) as wrong:
+                    yield row(path, None, None, None, None, None, str(wrong) or "the file ends too early")
+
+    return files.select("path", "content").mapInArrow(run, BLOCK_SCHEMA)
+
+
+def _wave_files(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(root).select("path", "content")
+
+
+def read_blocks(spark: SparkSession, root: str, block: int = 1 << 16) -> DataFrame:
+    """(path, rate, width, channel, block, samples): one row per block of a channel. What does not decode is in ``undecodable``."""
+    return decoded(_wave_files(spark, root), block).filter("reason is null").drop("reason")
+
+
+def undecodable(spark: SparkSession, root: str) -> DataFrame:
+    """(path, reason) of the files that do not decode."""
+    return decoded(_wave_files(spark, root)).filter("reason is not null").select("path", "reason")
+
+
+def int_samples(blocks: DataFrame) -> DataFrame:
+    """blocks with their samples as left-justified 32-bit integers."""
+    return blocks.withColumn("samples", F.transform("samples", lambda x: F.rint(x.cast("double") * F.lit(float(1 << 31))).cast("long")))
+
+
+def pcm_hashes(files: DataFrame) -> DataFrame:
+    """(path, pcm_md5): hash of the frames alone, whatever the header and the tags around them; null where a file does not decode."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for raw in batch.column("content"):
+                try:
+                    with wave.open(io.BytesIO(raw.as_py() or b"")) as w:
+                        digest = hashlib.md5()
+                        while data := w.readframes(1 << 16):
+                            digest.update(data)
+                    out.append(digest.hexdigest())
                 except (wave.Error, EOFError):
-                    continue
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.string())], names=["path", "pcm_md5"])
 
-    return files.mapInArrow(run, "path string, rate int, width int, channel int, block int, samples array<float>")
+    return files.select("path", "content").mapInArrow(run, "path string, pcm_md5 string")
 
 
 def channel_levels(blocks: DataFrame) -> DataFrame:
