@@ -60,13 +60,6 @@ def squash(text: Column) -> Column:
     return F.regexp_replace(plain, "[^a-z0-9]", "")
 
 
-def simplify_title(title: Column) -> Column:
-    """Lower case without what stands in brackets or after a featuring mark; single spaces."""
-    out = F.regexp_replace(F.lower(title), r"\([^)]*\)|\[[^\]]*\]", " ")
-    out = F.regexp_replace(out, r" (feat|ft|featuring)\.? .*$", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[^a-z0-9]+", " "), r" +", " "))
-
-
 def year_of(text: Column) -> Column:
     """The first four digits, from left to right, that make a year from 1900 to 2100."""
     hits = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 3, F.lit(1))), lambda i: F.substring(text, i, F.lit(4))), lambda s: s.rlike("^[0-9]{4}$") & s.try_cast("int").between(1900, 2100))
@@ -102,12 +95,6 @@ def present_mean(parts: list[tuple[float, Column]]) -> Column:
     return F.when(bottom > 0, top / bottom)
 
 
-def split_bucket(text: Column, whole: tuple[str, ...] = ("r&b", "drum & bass", "rock & roll")) -> Column:
-    """Parts of a label at commas, spaced ampersands and slashes, longer than two characters; some labels stay whole."""
-    parts = F.filter(F.transform(F.split(text, r"\s*,\s*|\s+&\s+|\s*/\s*"), lambda p: F.trim(p)), lambda p: F.length(p) > 2)
-    return F.when(F.lower(text).isin(*whole), F.array(text)).otherwise(parts)
-
-
 def syllables(word: Column) -> Column:
     """Vowel groups, less a silent last e, at least one."""
     groups = F.regexp_count(F.lower(word), F.lit("[aeiouy]+"))

@@ -14,14 +14,6 @@ from pyspark.sql import types as T
 
 from kelpie.functions.naming import unaccented
 
-#: Frequent words of each language.
-STOP_WORDS = {
-    "de": ("der", "die", "und", "das", "ist", "nicht", "ein", "mit", "den", "von"),
-    "en": ("the", "and", "of", "to", "in", "is", "that", "for", "it", "was"),
-    "es": ("el", "los", "las", "una", "por", "con", "para", "del", "que", "como"),
-    "fr": ("le", "les", "des", "une", "est", "dans", "pour", "que", "qui", "avec"),
-}
-
 #: Frequent words of eight languages without accents, ranges of scripts, and the language that a script tells.
 LANGUAGE_WORDS = {
     "en": "the a an and or but if of to in it is was you i me my we they he she that this with for on at be have do not no my your all so what when know like just".split(),
@@ -39,6 +31,14 @@ SCRIPTS = (
 )
 SCRIPT_LANGUAGE = {"hangul": "ko", "thai": "th", "arabic": "ar", "cyrillic": "ru", "devanagari": "hi", "hebrew": "he", "greek": "el"}
 
+#: Pronouns by person.
+PRONOUNS = {
+    "first_singular": ("i", "me", "my", "mine", "myself", "i'm", "i'll", "i've", "i'd"),
+    "first_plural": ("we", "us", "our", "ours", "ourselves", "we're", "we'll"),
+    "second": ("you", "your", "yours", "yourself", "you're", "you'll", "u"),
+    "third": ("he", "she", "him", "her", "his", "hers", "they", "them", "their", "theirs", "it", "its"),
+}
+
 
 def language_of(df: DataFrame, id_: str, text: str) -> DataFrame:
     """(id, language, confidence): by script where one other than Latin leads, else by the largest share of frequent words."""
@@ -70,15 +70,6 @@ def lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def language_scores(tokens: Column) -> Column:
-    """(hits, language) of each language, best first; ties by name."""
-    return F.array_sort(F.array(*[F.struct((-_hits(tokens, listed)).alias("k"), F.lit(name).alias("lang")) for name, listed in STOP_WORDS.items()]))
-
-
-def _hits(tokens: Column, listed: tuple[str, ...]) -> Column:
-    return F.size(F.filter(tokens, lambda w: w.isin(*listed)))
-
-
 def ngrams(tokens: Column, n: int) -> Column:
     at = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(at, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))

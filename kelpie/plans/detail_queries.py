@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kelpie.functions import exprs
-from kelpie.operators import analytic, music, series, signal
+from kelpie.operators import analytic, music, series
 from kelpie.plans.registry import query, table
 from kelpie.plans.series_queries import SIGNAL, samples
 from kelpie.streaming import observations

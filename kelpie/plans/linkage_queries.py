@@ -42,22 +42,6 @@ def date_consensus(spark, sf_dir):
     return linkage.consensus_date(o, ["o_custkey"], "day")
 
 
-@query("""WITH c AS (SELECT c_custkey, s_suppkey, abs(c_acctbal - s_acctbal) / 1000 AS delta, right(c_name, 2) = right(s_name, 2) AS same_tail FROM customer JOIN supplier ON c_nationkey = s_nationkey),
-s AS (SELECT *, CASE WHEN same_tail THEN 1.0 ELSE 0.5 END AS name_score, CASE WHEN delta <= 2 THEN 1.0 WHEN delta <= 5 THEN 0.75 WHEN delta <= 15 THEN 0.3 ELSE 0.0 END AS duration_score FROM c),
-r AS (SELECT *, (0.55 * name_score + 0.15 * duration_score) / 0.7 AS score FROM s),
-p AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY round(score, 9) DESC, round(delta, 9), s_suppkey) AS place FROM r)
-SELECT c_custkey, s_suppkey, round(score, 6)::DOUBLE AS score, place, (place = 1 AND score >= 0.5) AS accepted FROM p WHERE place <= 3""")
-def candidate_best(spark, sf_dir):
-    """Candidates of the same nation, scored over the fields that are present, in a total order."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.col("s_nationkey").alias("c_nationkey"), "s_acctbal")
-    delta = F.abs(F.col("c_acctbal") - F.col("s_acctbal")) / 1000
-    name = F.when(F.substring("c_name", -2, 2) == F.substring("s_name", -2, 2), 1.0).otherwise(0.5)
-    pairs = c.join(s, "c_nationkey").withColumn("delta", delta).withColumn("score", exprs.present_mean([(0.55, name), (0.15, exprs.duration_score(delta)), (0.30, F.lit(None).cast("double"))]))
-    ranked = linkage.best_candidate(pairs, ["c_custkey"], [F.desc(F.round("score", 9)), F.round("delta", 9), F.col("s_suppkey")], 0.5)
-    return ranked.filter("place <= 3").select("c_custkey", "s_suppkey", F.round("score", 6).alias("score"), "place", "accepted")
-
-
 @query("""WITH k AS (SELECT c_custkey, c_name, c_mktsegment || ':' || c_nationkey AS seg, c_nationkey FROM customer),
 o AS (SELECT o_orderkey, o_custkey FROM orders),
 l AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS k1, CASE WHEN o_orderkey % 3 = 1 THEN c_name END AS k2, c_mktsegment || ':' || c_nationkey AS k3 FROM o JOIN customer ON o_custkey = c_custkey),

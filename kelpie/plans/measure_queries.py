@@ -114,24 +114,6 @@ def align_lag(spark, sf_dir):
     return per.agg(F.max_by("k", best).cast("int").alias("lag_days"), F.round(F.max_by("r", best), 6).alias("r"), (F.max(F.abs("r")) >= 0.5).alias("aligned"))
 
 
-MARKERS = ("extended mix", "radio edit", "remastered", "acoustic", "remix", "demo", "live", "edit")
-_STRIPPED = "lower(t)"
-for _m in MARKERS:
-    _STRIPPED = f"regexp_replace({_STRIPPED}, '\\b{_m}\\b', ' ', 'g')"
-
-
-@query(f"""WITH x AS (SELECT p_partkey, p_name || ['', ' (Live)', ' - Radio Edit', ' Remastered'][(p_partkey % 4)::INT + 1] AS t FROM part)
-SELECT p_partkey, regexp_replace({_STRIPPED}, '[^a-z0-9]', '', 'g') AS work_key, (regexp_matches(lower(t), '\\b({'|'.join(MARKERS)})\\b')) AS is_version FROM x""")
-def work_keys(spark, sf_dir):
-    """A title without its version markers, longest first, squashed to a key."""
-    tail = F.element_at(F.array(*map(F.lit, ("", " (Live)", " - Radio Edit", " Remastered"))), (F.col("p_partkey") % 4).cast("int") + 1)
-    t = F.lower(F.concat("p_name", tail))
-    stripped = t
-    for m in MARKERS:
-        stripped = F.regexp_replace(stripped, rf"\b{m}\b", " ")
-    return table(spark, sf_dir, "part").select("p_partkey", exprs.squash(stripped).alias("work_key"), t.rlike(rf"\b({'|'.join(MARKERS)})\b").alias("is_version"))
-
-
 @query("""WITH l AS (SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS block, turn, role || ': ' || length(text) AS line FROM conversations)
 SELECT conv_id, block::BIGINT AS block, string_agg(line, chr(10) ORDER BY turn) AS body, count(*)::BIGINT AS n_lines FROM l GROUP BY conv_id, block""")
 def body_blocks(spark, sf_dir):

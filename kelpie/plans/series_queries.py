@@ -95,11 +95,12 @@ SELECT user_id, round(20 * log10(max(CASE WHEN kp = least(2, n) THEN peak END) /
 def dr14_blocks(spark, sf_dir):
     """Second-highest block peak over the rms of the loudest fifth of blocks."""
     b = series.tumbling(samples(spark, sf_dir), ["user_id"], "i", 6, rms=F.sqrt(2 * F.avg(F.col("value") * F.col("value"))), peak=F.max(F.abs("value")))
-    g = b.groupBy("user_id").agg(F.sort_array(F.collect_list("rms"), False).alias("r"), F.sort_array(F.collect_list("peak"), False).alias("p"))
-    n = F.size("r")
-    top = F.slice("r", 1, F.greatest(F.lit(1), F.bround(n * 0.2, 0).cast("int")))
-    mean = F.aggregate(top, F.lit(0.0), lambda a, x: a + x * x) / F.size(top)
-    return g.select("user_id", F.round(20 * F.log10(F.get("p", F.least(F.lit(2), n) - 1) / F.sqrt(mean)), 6).alias("dr_db"))
+    # Places in order by two windows of one partitioning; no group is gathered.
+    w = Window.partitionBy("user_id")
+    r = b.withColumn("n", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy(F.desc("rms"), "frame"))).withColumn("kp", F.row_number().over(w.orderBy(F.desc("peak"), "frame")))
+    loudest = F.when(F.col("k") <= F.greatest(F.lit(1), F.bround(F.col("n") * 0.2, 0)), F.col("rms") * F.col("rms"))
+    second = F.max(F.when(F.col("kp") == F.least(F.lit(2), F.col("n")), F.col("peak")))
+    return r.groupBy("user_id").agg(F.round(20 * F.log10(second / F.sqrt(F.avg(loudest))), 6).alias("dr_db"))
 
 
 @query("""SELECT user_id, ts::DATE AS day, round(20 * log10(max(abs(value)) / sqrt(avg(value * value))), 6) AS crest_db, count(*)::BIGINT AS n FROM events GROUP BY ALL""")

@@ -21,18 +21,15 @@ def lyric_stats(spark, sf_dir):
     return t.select("doc_id", n.cast("long").alias("n_words"), d.cast("long").alias("n_distinct"), F.round(F.when(n > 0, d / n), 6).alias("ttr"), k.cast("long").alias("n_lines"), F.round(F.when(k > 0, 100.0 * (k - u) / k), 4).alias("repeated_pct"))
 
 
-def _hits(words):
-    return "len(list_filter(w, lambda x: x IN (" + ", ".join(f"'{x}'" for x in words) + ")))"
+_PRONOUNS = ", ".join(f"round(100.0 * len(list_filter(w, lambda x: x IN ({', '.join(repr(x).replace(chr(34), chr(39)) if chr(39) not in x else chr(39) + x.replace(chr(39), chr(39) * 2) + chr(39) for x in listed)}))) / len(w), 6)::DOUBLE AS {name}_pct" for name, listed in text.PRONOUNS.items())
 
 
-@query(f"""WITH t AS (SELECT doc_id, {WORDS} AS w FROM documents), s AS (SELECT doc_id, unnest([{', '.join(f"struct_pack(h := {_hits(v)}, lang := '{k}')" for k, v in text.STOP_WORDS.items())}], recursive := true) FROM t),
-o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY h DESC, lang) AS k, lead(h) OVER (PARTITION BY doc_id ORDER BY h DESC, lang) AS second FROM s)
-SELECT doc_id, CASE WHEN h > 0 THEN lang ELSE 'unknown' END AS language, CASE WHEN h = 0 THEN 'low' WHEN h - second >= 3 THEN 'high' ELSE 'medium' END AS confidence FROM o WHERE k = 1""")
-def language_detect(spark, sf_dir):
-    """Stop words: the language of most hits, with confidence by the margin."""
-    t = table(spark, sf_dir, "documents").select("doc_id", text.language_scores(text.words(F.col("text"))).alias("s"))
-    first, second = F.get("s", F.lit(0)), F.get("s", F.lit(1))
-    return t.select("doc_id", F.when(first["k"] < 0, first["lang"]).otherwise("unknown").alias("language"), F.when(first["k"] == 0, "low").when(second["k"] - first["k"] >= 3, "high").otherwise("medium").alias("confidence"))
+@query(f"WITH t AS (SELECT doc_id, {WORDS} AS w FROM documents) SELECT doc_id, {_PRONOUNS} FROM t WHERE len(w) > 0")
+def pronoun_shares(spark, sf_dir):
+    """How many of the words are pronouns of each person."""
+    t = table(spark, sf_dir, "documents").select("doc_id", text.words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    among = lambda listed: lambda x: x.isin(*listed)
+    return t.select("doc_id", *[F.round(100.0 * F.size(F.filter("w", among(listed))) / F.size("w"), 6).alias(f"{name}_pct") for name, listed in text.PRONOUNS.items()])
 
 
 @query(f"""WITH t AS (SELECT doc_id, {WORDS} AS w FROM documents), g AS (SELECT doc_id, n, array_to_string(w[i : i + n - 1], ' ') AS gram FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM t, range(2, 9) r(n) WHERE len(w) >= n)),
@@ -63,33 +60,6 @@ def vocab_share(spark, sf_dir):
     return c.crossJoin(F.broadcast(total)).select("word", "n", F.round(F.col("n") / F.col("all"), 8).alias("share"), F.when(F.col("n") >= 100, "usable").otherwise("thin").alias("flag"))
 
 
-@query("""SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(p_name), '\\([^)]*\\)|\\[[^\\]]*\\]', ' ', 'g'), ' (feat|ft|featuring)\\.? .*$', ''), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')) AS title,
-  regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g') AS squashed FROM part""")
-def title_normalise(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", exprs.simplify_title(F.col("p_name")).alias("title"), exprs.squash(F.col("p_type")).alias("squashed"))
-
-
-UMBRELLAS = (("metal", "STEEL|TIN|NICKEL|COPPER|BRASS"), ("large", "LARGE|ECONOMY"), ("small", "SMALL|MEDIUM"), ("plain", "STANDARD|PROMO"))
-
-
-@query("SELECT p_partkey, lower(replace(p_type, '-', ' ')) AS label, CASE " + " ".join(f"WHEN regexp_matches(p_type, '^({r})') THEN '{n}'" for n, r in UMBRELLAS) + " " + " ".join(f"WHEN regexp_matches(p_type, '({r})') THEN '{n}'" for n, r in UMBRELLAS) + " ELSE 'other' END AS umbrella FROM part")
-def genre_umbrella(spark, sf_dir):
-    """Ordered patterns: anchored at the head first, then anywhere."""
-    out = None
-    for anchor in ("^", ""):
-        for name, pattern in UMBRELLAS:
-            hit = F.col("p_type").rlike(f"{anchor}({pattern})")
-            out = F.when(hit, name) if out is None else out.when(hit, name)
-    return table(spark, sf_dir, "part").select("p_partkey", F.lower(F.replace("p_type", F.lit("-"), F.lit(" "))).alias("label"), out.otherwise("other").alias("umbrella"))
-
-
-@query("""WITH b AS (SELECT p_partkey, p_brand || ' & ' || p_type || ' / ' || p_size::VARCHAR AS bucket FROM part)
-SELECT p_partkey, len(parts)::BIGINT AS n_parts, array_to_string(parts, '|') AS parts FROM (SELECT p_partkey, list_filter(list_transform(regexp_split_to_array(bucket, '\\s*,\\s*|\\s+&\\s+|\\s*/\\s*'), lambda x: trim(x)), lambda x: length(x) > 2) AS parts FROM b)""")
-def bucket_split(spark, sf_dir):
-    parts = exprs.split_bucket(F.concat(F.col("p_brand"), F.lit(" & "), F.col("p_type"), F.lit(" / "), F.col("p_size").cast("string")))
-    return table(spark, sf_dir, "part").select("p_partkey", F.size(parts).cast("long").alias("n_parts"), F.array_join(parts, "|").alias("parts"))
-
-
 @query("""WITH t AS (SELECT o_orderkey, o_totalprice / 100 AS hz, o_totalprice / 1000 AS sec FROM orders), m AS (SELECT *, 69 + 12 * log2(hz / 440) AS midi FROM t)
 SELECT o_orderkey, (['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'])[((round_even(midi, 0)::INT % 12) + 12) % 12 + 1] || (floor(round_even(midi, 0) / 12) - 1)::INT AS note, round((midi - round_even(midi, 0)) * 100, 4) AS cents,
   (round_even(sec * 1000, 0)::BIGINT // 60000)::VARCHAR || ':' || lpad((round_even(sec * 1000, 0)::BIGINT % 60000 // 1000)::VARCHAR, 2, '0') || '.' || lpad((round_even(sec * 1000, 0)::BIGINT % 1000)::VARCHAR, 3, '0') AS clock FROM m""")

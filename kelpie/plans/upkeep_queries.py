@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kelpie.functions import exprs
 from kelpie.operators import upkeep
 from kelpie.plans.registry import query, table
 
@@ -31,12 +30,6 @@ def flatten_json(spark, sf_dir):
     return e.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("event_id", F.col("key").alias("path"), F.col("value").cast("string").alias("value"))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN 'yes' WHEN c_acctbal <= 5000 THEN 'no' ELSE 'not-measured' END AS wealthy, CASE WHEN c_custkey % 5 = 0 THEN 'not-measured' WHEN c_mktsegment = 'BUILDING' THEN 'yes' ELSE 'no' END AS builder FROM customer""")
-def traits_tristate(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    return c.select("c_custkey", exprs.tri_state(F.col("c_acctbal") > 5000).alias("wealthy"), exprs.tri_state(F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment") == "BUILDING")).alias("builder"))
-
-
 @query("""WITH r AS (SELECT *, ts::DATE AS day, round(value, 0) AS v FROM events), l AS (SELECT *, lag(day) OVER w AS d0, lag(v) OVER w AS v0 FROM r WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id))
 SELECT event_id FROM l WHERE NOT coalesce(d0 = day OR (v0 = v AND day - d0 <= 7), false)""")
 def restamp_prune(spark, sf_dir):
@@ -61,14 +54,6 @@ def findings(spark, sf_dir):
     return upkeep.findings(table(spark, sf_dir, "orders"), [(n, s, F.expr(t)) for n, s, t in RULES], F.col("o_orderkey").cast("string"))
 
 
-@query("""SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'no receipt' WHEN quality = 0 THEN 'failed' WHEN n_chars > 5000 THEN 'size changed' WHEN toxic = 1 THEN 'schema changed' END AS reason FROM documents d LEFT JOIN labels l USING (doc_id)""")
-def stale_reasons(spark, sf_dir):
-    """Receipts against sources: the first of ordered reasons."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels").withColumn("there", F.lit(True)), "doc_id", "left")
-    reasons = [("no receipt", F.col("there").isNull()), ("failed", F.col("quality") == 0), ("size changed", F.col("n_chars") > 5000), ("schema changed", F.col("toxic") == 1)]
-    return d.select("doc_id", upkeep.why_stale(reasons).alias("reason"))
-
-
 @query("""WITH r AS (SELECT conv_id, turn, sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS running FROM conversations) SELECT conv_id, turn, running::BIGINT AS running FROM r WHERE running <= 600""")
 def digest_budget(spark, sf_dir):
     """Blocks of a digest kept in order while they fit a budget of bytes."""

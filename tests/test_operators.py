@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kelpie.functions import exprs
+from kelpie.functions import exprs, genres
 from kelpie.operators import analytic, linkage, music, series, signal, text, upkeep
 from kelpie.streaming import observations
 
@@ -39,8 +39,8 @@ def test_year(spark, t, want):
 
 
 def test_splits_and_scores(spark):
-    assert one(spark, exprs.split_bucket(F.lit("Soul, Funk & Disco / R"))) == ["Soul", "Funk", "Disco"]
-    assert one(spark, exprs.split_bucket(F.lit("drum & bass"))) == ["drum & bass"]
+    assert one(spark, genres.split_label(F.lit("Soul, Funk & Disco / R"))) == ["Soul", "Funk", "Disco"]
+    assert one(spark, genres.split_label(F.lit("drum & bass"))) == ["drum & bass"]
     assert one(spark, exprs.present_mean([(0.55, F.lit(1.0)), (0.3, F.lit(None).cast("double")), (0.15, F.lit(0.0))])) == pytest.approx(0.55 / 0.7)
     assert [one(spark, exprs.duration_score(F.lit(float(d)))) for d in (1, 4, 10, 20)] == [1.0, 0.75, 0.3, 0.0]
     assert [one(spark, exprs.tempo_verdict(F.lit(r))) for r in (1.01, 2.05, 0.48, 1.5, 1.3)] == ["agree", "octave", "octave", "triplet", "disagree"]
