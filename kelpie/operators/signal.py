@@ -40,12 +40,14 @@ def biquad(samples: Column, b: tuple[float, float, float], a: tuple[float, float
 
 
 def second_order(kind: str, corner: float, q: float, rate: float, gain_db: float = 0.0) -> tuple[tuple[float, float, float], tuple[float, float]]:
-    """(b, a) of a high shelf or a high pass with its corner at a frequency, by the bilinear transform with the corner kept in place."""
+    """(b, a) of a high shelf, a high pass or a low pass with its corner at a frequency, by the bilinear transform with the corner kept in place."""
     k = math.tan(math.pi * corner / rate)
     below = 1 + k / q + k * k
     a = (2 * (k * k - 1) / below, (1 - k / q + k * k) / below)
     if kind == "high pass":
         return (1.0, -2.0, 1.0), a
+    if kind == "low pass":
+        return (k * k / below, 2 * k * k / below, k * k / below), a
     top = 10 ** (gain_db / 20)
     middle = top**SHELF_EXPONENT
     return ((top + middle * k / q + k * k) / below, 2 * (k * k - top) / below, (top - middle * k / q + k * k) / below), a
@@ -176,6 +178,20 @@ def welch(df: DataFrame, key: str, order: str, value: str, size: int, places: in
     return _per_row(_ordered(df, key, order, value), key, kernel, f"{key} long, bin long, frequency double, power double")
 
 
+def flux(df: DataFrame, key: str, order: str, value: str, size: int) -> DataFrame:
+    """(key, frames, mean_flux, max_flux): what the bins of a spectrum gain from one Hann frame to the next, half a frame on."""
+    def kernel(v):
+        n = min(size, len(v))
+        w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+        frames = np.stack([v[i : i + n] for i in range(0, len(v) - n + 1, max(1, n // 2))])
+        mags = np.abs(np.fft.rfft((frames - frames.mean(1, keepdims=True)) * w, axis=1)) / math.sqrt((w * w).sum() or 1.0)
+        gain = np.maximum(np.diff(mags, axis=0), 0).sum(1)
+        some = slice(0, 1 if len(gain) else 0)
+        return {"frames": np.array([len(gain)])[some], "mean_flux": np.array([round(gain.mean(), 4) if len(gain) else 0.0])[some], "max_flux": np.array([round(gain.max(initial=0.0), 4)])[some]}
+
+    return _per_row(_ordered(df, key, order, value), key, kernel, f"{key} long, frames long, mean_flux double, max_flux double")
+
+
 def checkerboard(x: np.ndarray, size: int) -> np.ndarray:
     """Novelty along the diagonal of a cosine self-similarity matrix, under a Gaussian checkerboard of half-width ``size``.
 
@@ -240,3 +256,25 @@ def true_peak(df: DataFrame, key: str, order: str, value: str, ceiling: float) -
         return {"true_peak": np.array([round(oversampled_peak(v), 6)]), "true_peak_16": np.array([round(oversampled_peak(v, 16), 6)]), "sample_peak": np.array([float(np.abs(v).max(initial=0.0))]), "over_runs": np.array([runs])}
 
     return _per_row(_ordered(df, key, order, value), key, kernel, f"{key} long, true_peak double, true_peak_16 double, sample_peak double, over_runs long")
+
+
+def band_pass(x: np.ndarray, low: float, high: float, rate: float) -> np.ndarray:
+    """A series between two frequencies, without delay: Butterworth stages forwards and then backwards. Before its start the series is silent."""
+    for _ in range(2):
+        for kind, corner in (("high pass", low), ("low pass", high)):
+            b, a = second_order(kind, corner, math.sqrt(0.5), rate)
+            y, x1, x2, y1, y2 = np.empty(len(x)), 0.0, 0.0, 0.0, 0.0
+            for i, v in enumerate(x.tolist()):
+                y[i] = out = b[0] * v + b[1] * x1 + b[2] * x2 - a[0] * y1 - a[1] * y2
+                x1, x2, y1, y2 = v, x1, out, y1
+            x = y
+        x = x[::-1]
+    return x
+
+
+def band_passed(df: DataFrame, key: str, order: str, value: str, low: float, high: float, rate: float) -> DataFrame:
+    """(key, at, value) of each series between two frequencies."""
+    def kernel(v):
+        return {"at": np.arange(len(v), dtype=np.int64), "value": np.round(band_pass(v, low, high, rate), 4)}
+
+    return _per_row(_ordered(df, key, order, value), key, kernel, f"{key} long, at long, value double")

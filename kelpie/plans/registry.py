@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from kelpie.plans import cohort_queries, detail_queries, document_queries, io_queries, linkage_queries, measure_queries, naming_queries, series_queries, text_queries, upkeep_queries  # noqa: E402, F401
+from kelpie.plans import cohort_queries, detail_queries, document_queries, io_queries, linkage_queries, measure_queries, naming_queries, recording_queries, series_queries, text_queries, upkeep_queries  # noqa: E402, F401

@@ -162,3 +162,21 @@ def headers(spark: SparkSession, root: str) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(types))
 
     return first.mapInArrow(run, schema)
+
+
+def wave_chunks(files: DataFrame) -> DataFrame:
+    """(path, number, kind, size) of the chunks of RIFF files, in order: what a container holds beside its samples."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                raw, at, number = bytes(raw or b""), 12, 0
+                while raw[:4] == b"RIFF" and at + 8 <= len(raw):
+                    size = int.from_bytes(raw[at + 4 : at + 8], "little")
+                    rows.append((path, number, raw[at : at + 4].decode("latin-1").strip(), size))
+                    at, number = at + 8 + size + size % 2, number + 1
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.string(), pa.int32(), pa.string(), pa.int64()], strict=True)], names=["path", "number", "kind", "size"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, number int, kind string, size long")
