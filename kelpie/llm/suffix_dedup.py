@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpie.llm import common as c
@@ -262,6 +262,40 @@ def sort_pieces(length: int):
     return run
 
 
+# ------------------------------------------------------------------ one level over all bytes
+
+
+def named_triples(rows: DataFrame) -> DataFrame:
+    """(at, name): the first level of the difference-cover algorithm over all bytes of all texts, across tasks. Triples at positions 1 and 2 modulo 3
+    are sorted by range and named in order; equal triples have one name.
+
+    suffix_dedup does not go this way. It is here so that the cost of a suffix array of a whole corpus can be measured (README).
+    """
+
+    def triples(batches):
+        for batch in batches:
+            for part in c.slices(batch):
+                data, off = c.buffers(part.column("text"))
+                did = part.column("did").to_numpy(zero_copy_only=False)
+                wide = np.concatenate([data.astype(np.int32) + 1, np.zeros(2, np.int32)])
+                doc = np.repeat(np.arange(part.num_rows), np.diff(off))
+                own = np.arange(len(data)) - off[doc]
+                left = off[doc + 1] - np.arange(len(data))
+                t = (wide[:-2] << 18) | (np.where(left > 1, wide[1:-1], 0) << 9) | np.where(left > 2, wide[2:], 0)
+                pick = np.flatnonzero(own % 3 != 0)
+                for i in range(0, len(pick), 100_000):
+                    j = pick[i : i + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(did[doc[j]]), pa.array(own[j].astype(np.int32)), pa.array(t[j].astype(np.int32))], names=["did", "at", "triple"])
+
+    sampled = c.stage(rows.select("did", "text").mapInArrow(triples, "did long, at int, triple int"))
+    kinds = c.stage(sampled.select("triple").distinct().repartitionByRange(c.partitions(rows.sparkSession), "triple").withColumn("part", F.spark_partition_id()))
+    sizes = kinds.groupBy("part").agg(F.count("*").alias("n"))
+    # One row for each partition.
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    named = kinds.join(starts, "part").select("triple", (F.col("start") + F.row_number().over(Window.partitionBy("part").orderBy("triple"))).alias("name"))
+    return sampled.join(named.hint("merge"), "triple").select("did", "at", "name")
+
+
 # ------------------------------------------------------------------ what stays
 
 

@@ -171,3 +171,11 @@ def test_embeddings_against_brute_force(spark):
     assert np.mean([got[i].component_id == labels[i] for i in range(len(x))]) > 0.98
     for i, _ in odd:
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
+
+
+def test_named_triples_are_in_order(spark):
+    rows = spark.createDataFrame([(1, "banana band"), (2, "bandana"), (3, "")], "did long, text string")
+    got = {(r.did, r.at): r.name for r in suffix_dedup.named_triples(rows).collect()}
+    plain = {(i, p): t[p : p + 3] for i, t in ((1, "banana band"), (2, "bandana")) for p in range(len(t)) if p % 3}
+    ranks = {t: k + 1 for k, t in enumerate(sorted(set(plain.values())))}
+    assert got == {k: ranks[t] for k, t in plain.items()}
