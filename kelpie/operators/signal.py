@@ -192,6 +192,18 @@ def flux(df: DataFrame, key: str, order: str, value: str, size: int) -> DataFram
     return _per_row(_ordered(df, key, order, value), key, kernel, f"{key} long, frames long, mean_flux double, max_flux double")
 
 
+def frame_spectra(df: DataFrame, key: str, order: str, value: str, size: int) -> DataFrame:
+    """(key, frame, bin, mag): the magnitudes of Hann frames, half a frame apart."""
+    def kernel(v):
+        n = min(size, len(v))
+        w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+        frames = np.stack([v[i : i + n] for i in range(0, len(v) - n + 1, max(1, n // 2))])
+        mags = np.abs(np.fft.rfft((frames - frames.mean(1, keepdims=True)) * w, axis=1)) / math.sqrt((w * w).sum() or 1.0)
+        return {"frame": np.repeat(np.arange(len(mags)), mags.shape[1]), "bin": np.tile(np.arange(mags.shape[1]), len(mags)), "mag": mags.ravel()}
+
+    return _per_row(_ordered(df, key, order, value), key, kernel, f"{key} long, frame long, bin long, mag double")
+
+
 def checkerboard(x: np.ndarray, size: int) -> np.ndarray:
     """Novelty along the diagonal of a cosine self-similarity matrix, under a Gaussian checkerboard of half-width ``size``.
 

@@ -317,3 +317,28 @@ def audit_findings(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(*[F.expr(t.replace("VARCHAR", "STRING")).alias(n) for n, _, t in _TRACK])
     missing = {"credited": "array<string>", "release_types": "array<string>", "popularity_at": "date", "enriched_at": "date", "warnings": "array<string>"}
     return quality.audit(o.select("*", *[F.lit(None).cast(t).alias(n) for n, t in missing.items()]))
+
+
+_PUBLISHED = "published AS (SELECT 'folder ' || o_orderkey AS folder, 'Artist ' || o_custkey % 37 AS artist, CASE o_orderkey % 5 WHEN 0 THEN 'Pop' WHEN 1 THEN 'pop' ELSE 'jazz' END AS genre FROM orders WHERE o_orderkey % 11 <> 0)"
+
+
+@query(f"""WITH {_PUBLISHED}, tracks AS (SELECT 'folder ' || o_orderkey AS folder FROM orders), log AS (SELECT DISTINCT 'Artist ' || o_custkey % 41 AS artist FROM orders), declared AS (SELECT unnest(['Pop', 'pop', 'jazz', 'Dub', 'dub']) AS option), artists AS (SELECT DISTINCT artist FROM published)
+SELECT 'published.missing_rows' AS "check", 'error' AS severity, folder AS "where" FROM tracks WHERE folder NOT IN (SELECT folder FROM published)
+UNION ALL SELECT 'published.artist_drift', 'error', artist FROM artists WHERE artist NOT IN (SELECT artist FROM log) UNION ALL SELECT 'published.artist_drift', 'error', artist FROM log WHERE artist NOT IN (SELECT artist FROM artists)
+UNION ALL SELECT 'published.orphan_option', 'warn', option FROM declared WHERE option NOT IN (SELECT genre FROM published)
+UNION ALL SELECT 'published.case_collision', 'error', array_to_string(list_sort(list(option)), ' / ') FROM declared GROUP BY lower(option) HAVING count(*) > 1""")
+def audit_published(spark, sf_dir):
+    """What was published against what there is: rows that are missing, artists that drifted, options that nothing uses or that differ in case only."""
+    o = table(spark, sf_dir, "orders")
+    folder, artist = F.concat(F.lit("folder "), F.col("o_orderkey").cast("string")), lambda n: F.concat(F.lit("Artist "), F.pmod("o_custkey", F.lit(n)).cast("string")).alias("artist")
+    k = F.pmod("o_orderkey", F.lit(5))
+    published = o.filter(F.pmod("o_orderkey", F.lit(11)) != 0).select(folder.alias("folder"), artist(37), F.when(k == 0, "Pop").when(k == 1, "pop").otherwise("jazz").alias("genre"))
+    declared = spark.createDataFrame([(x,) for x in ("Pop", "pop", "jazz", "Dub", "dub")], "option string")
+    return quality.published_rules(o.select(folder.alias("folder")), published, o.select(artist(41)), declared)
+
+
+@query("""SELECT 'published.dead_column' AS "check", 'warn' AS severity, 'empty' AS "where" UNION ALL SELECT 'published.constant_checkbox', 'info', 'always'""")
+def audit_columns(spark, sf_dir):
+    """Columns that are empty on every row, and yes/no columns with one answer."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.lit(None).cast("string").alias("empty"), F.lit(True).alias("always"), (F.col("c_acctbal") > 0).alias("rich"))
+    return quality.column_rules(c, "c_custkey")

@@ -179,3 +179,45 @@ def optional_blocks(spark, sf_dir):
     there = lambda k: F.pmod(F.col("o_orderkey") + k, F.lit(3)) != 0
     each = F.array(*[F.struct(F.lit(n).alias("block"), there(k).alias("available"), F.when(~there(k), F.lit(f"{n} is not installed")).alias("reason")) for k, n in enumerate(names)])
     return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(each).alias("b")).select("o_orderkey", "b.*")
+
+
+@query(f"""WITH {SIGNAL}, {_WELCH}, p AS (SELECT user_id, log2(frequency * 8000) AS octave, 10 * log10(power) AS db FROM psd WHERE bin > 0 AND power > 1e-9)
+SELECT user_id, round(regr_slope(db, octave), 4) AS tilt_db_per_octave, round(regr_r2(db, octave), 4) AS r2 FROM p GROUP BY user_id HAVING count(*) > 2""")
+def spectral_tilt(spark, sf_dir):
+    """How a spectrum falls with the octave, and how well a line says so."""
+    p = signal.welch(samples(spark, sf_dir), "user_id", "i", "value", 64, places=12).filter("bin > 0 AND power > 1e-9").select("user_id", F.log2(F.col("frequency") * 8000).alias("octave"), (10 * F.log10("power")).alias("db"))
+    return p.groupBy("user_id").agg(F.count("*").alias("n"), F.regr_slope("db", "octave").alias("s"), F.regr_r2("db", "octave").alias("r")).filter("n > 2").select("user_id", F.round("s", 4).alias("tilt_db_per_octave"), F.round("r", 4).alias("r2"))
+
+
+@query(f"""WITH {SIGNAL}, {_WELCH}, b AS (SELECT user_id, floor(13 * atan(0.00076 * frequency * 8000) + 3.5 * atan((frequency * 8000 / 7500) ** 2))::INT AS band, power FROM psd WHERE bin > 0)
+SELECT user_id, band, round(100 * sum(power) / sum(sum(power)) OVER (PARTITION BY user_id), 4) AS share_pct FROM b GROUP BY user_id, band""")
+def bark_bands(spark, sf_dir):
+    """Power by bands as wide as the ear's."""
+    f = F.col("frequency") * 8000
+    band = F.floor(13 * F.atan(0.00076 * f) + 3.5 * F.atan(F.pow(f / 7500, F.lit(2.0)))).cast("int")
+    g = signal.welch(samples(spark, sf_dir), "user_id", "i", "value", 64, places=12).filter("bin > 0").groupBy("user_id", band.alias("band")).agg(F.sum("power").alias("p"))
+    return g.select("user_id", "band", F.round(100 * F.col("p") / F.sum("p").over(Window.partitionBy("user_id")), 4).alias("share_pct"))
+
+
+@query(f"""WITH {SIGNAL}, c AS (SELECT a.user_id, k, corr(a.value, b.value) AS r FROM sig a CROSS JOIN range(2, 13) l(k) JOIN sig b ON b.user_id = a.user_id AND b.i = a.i + k GROUP BY ALL)
+SELECT user_id, arg_min(k, (-round(r, 9), k))::INT AS period, round(max(r), 6) AS strength, CASE WHEN max(r) >= 0.3 THEN 'medium' ELSE 'low' END AS confidence FROM c WHERE r IS NOT NULL AND NOT isnan(r) GROUP BY user_id""")
+def tempo_period(spark, sf_dir):
+    """The shift at which a series repeats itself best: all shifts in one window pass."""
+    w = Window.partitionBy("user_id").orderBy("i")
+    lags = range(2, 13)
+    g = samples(spark, sf_dir).select("user_id", "value", *[F.lead("value", k).over(w).alias(f"v{k}") for k in lags]).groupBy("user_id").agg(*[F.corr("value", f"v{k}").alias(f"c{k}") for k in lags])
+    each = F.filter(F.array(*[F.struct((-F.round(f"c{k}", 9)).alias("o"), F.lit(k).alias("k"), F.col(f"c{k}").alias("r")) for k in lags]), lambda x: x["r"].isNotNull() & ~F.isnan(x["r"]))
+    best = F.array_max(F.transform("e", lambda x: x["r"]))
+    return g.withColumn("e", each).filter(F.size("e") > 0).select("user_id", F.array_min("e")["k"].alias("period"), F.round(best, 6).alias("strength"), F.when(best >= 0.3, "medium").otherwise("low").alias("confidence"))
+
+
+@query(f"""WITH {SIGNAL}, {_FRAMES}, m AS (SELECT user_id, s, bin, sqrt((re * re + im * im) / ww) AS mag FROM d),
+h AS (SELECT user_id, mag, median(mag) OVER (PARTITION BY user_id, bin ORDER BY s ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS along, median(mag) OVER (PARTITION BY user_id, s ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS across FROM m)
+SELECT user_id, round(sum(CASE WHEN along >= across THEN mag ELSE 0 END) / sum(mag), 4) AS harmonic_share FROM h GROUP BY user_id""")
+def harmonic_share(spark, sf_dir):
+    """How much of a spectrum goes on in time rather than across its bins, by medians along both."""
+    m = signal.frame_spectra(samples(spark, sf_dir), "user_id", "i", "value", 16)
+    along = F.percentile("mag", 0.5).over(Window.partitionBy("user_id", "bin").orderBy("frame").rowsBetween(-2, 2))
+    across = F.percentile("mag", 0.5).over(Window.partitionBy("user_id", "frame").orderBy("bin").rowsBetween(-2, 2))
+    h = m.withColumn("along", along).withColumn("across", across)
+    return h.groupBy("user_id").agg(F.round(F.sum(F.when(F.col("along") >= F.col("across"), F.col("mag")).otherwise(0.0)) / F.sum("mag"), 4).alias("harmonic_share"))
