@@ -164,6 +164,33 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         at = to
 
 
+def stretches(batch: pa.RecordBatch, before: int, after: int, most: int = SLICE_BYTES) -> Iterator[tuple]:
+    """(part, bytes, offsets, base, own): slices of a batch; one long document as stretches of it. ``base`` is where a stretch lies in its
+    document, ``own`` the range of its places that are its own: ``before`` and ``after`` bytes around are there to look at."""
+    for part in slices(batch, most=most):
+        data, off = buffers(part.column("text"))
+        if part.num_rows > 1 or len(data) <= most:
+            yield part, data, off, 0, (0, len(data))
+            continue
+        for a in range(0, len(data), most):
+            lo, hi = max(0, a - before), min(len(data), a + most + after)
+            yield part, data[lo:hi], np.array([0, hi - lo]), lo, (a - lo, min(len(data), a + most) - lo)
+
+
+def places(batch: pa.RecordBatch, before: int, after: int) -> Iterator[tuple]:
+    """(part, bytes, offsets, base, document, place): stretches with the places of the list ``at`` that are their own."""
+    for part, data, off, base, own in stretches(batch, before, after):
+        where = part.column("at")
+        cut = np.asarray(where.offsets, np.int64)
+        at = where.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = np.repeat(np.arange(part.num_rows), np.diff(cut))
+        if part.num_rows == 1:
+            at = at - base
+            at = at[(at >= own[0]) & (at < own[1])]
+            doc = np.zeros(len(at), np.int64)
+        yield part, data, off, base, doc, at
+
+
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -231,7 +258,16 @@ class Rolling:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    return Rolling(data, which)(starts, ends)
+    """Hashes of words; those of a long text a slice at a time, as sums take eight bytes and more for each byte."""
+    if len(data) <= SLICE_BYTES:
+        return Rolling(data, which)(starts, ends)
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        lo = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, lo + SLICE_BYTES, "right")))
+        out[at:to] = Rolling(data[lo : ends[to - 1]], which)(starts[at:to] - lo, ends[at:to] - lo)
+        at = to
+    return out
 
 
 # ------------------------------------------------------------------ routing of many small rows
@@ -427,12 +463,8 @@ def found_runs(did: np.ndarray, tag: np.ndarray, at: np.ndarray) -> pa.Table:
     return pa.table({"did": d[first], "tag": t[first], "lo": p[first].astype(np.int32), "hi": p[last].astype(np.int32), "need": np.zeros(len(first), np.int32)})
 
 
-def each_string(part: pa.RecordBatch, first: np.ndarray, reach: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, start) of the strings of ``length`` that begin at most ``reach`` before the places ``at`` of each document. first: where each document begins."""
-    where = part.column("at")
-    cut = np.asarray(where.offsets, np.int64)
-    at = where.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    doc = np.repeat(np.arange(part.num_rows), np.diff(cut))
+def each_string(doc: np.ndarray, at: np.ndarray, first: np.ndarray, reach: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, start) of the strings of ``length`` that begin at most ``reach`` before places ``at`` of documents. first: where each document begins."""
     p = (first[doc] + at)[:, None] - np.arange(reach + 1)[None, :]
     p = np.unique(p[(p >= first[doc][:, None]) & (p + length <= first[doc + 1][:, None])])
     return np.searchsorted(first[1:], p, "right"), p

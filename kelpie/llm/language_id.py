@@ -122,15 +122,38 @@ def expectation_maximisation(like: np.ndarray, top: np.ndarray, first: np.ndarra
     return theta, totals(value.astype(np.float64), first)
 
 
-def infer(gram: np.ndarray, cuts: np.ndarray, first: np.ndarray, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_logs(gram: np.ndarray, cuts: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """Log-likelihood of each word in each language."""
+    logs = np.empty((len(cuts) - 1, model.shape[1]), np.float32)
+    for k in range(model.shape[1] if len(logs) else 0):
+        logs[:, k] = np.add.reduceat(model[:, k][gram], cuts[:-1])
+    return logs
+
+
+def logs_of(data: np.ndarray, off: np.ndarray, model: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word_logs of a slice, first word of each document). A long text is read between spaces, a piece at a time, as grams take some thirty bytes each."""
+    if len(off) > 2 or len(data) <= most:
+        gram, cuts, first = grams(data, off)
+        return word_logs(gram, cuts, model), first
+    spaces = np.flatnonzero(data == 0x20)
+    parts, at = [np.zeros((0, model.shape[1]), np.float32)], 0
+    while at < len(data) - 1:
+        # From one space to the last within reach, or else to the next there is; the text begins and ends with one.
+        k = int(np.searchsorted(spaces, at + most, "right")) - 1
+        to = int(spaces[k]) if spaces[k] > at else int(spaces[k + 1])
+        gram, cuts, _ = grams(data[at : to + 1], np.array([0, to + 1 - at]))
+        parts.append(word_logs(gram, cuts, model))
+        at = to
+    logs = np.concatenate(parts)
+    return logs, np.array([0, len(logs)])
+
+
+def infer(logs: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(languages, proportions) of each document's set, the largest first; the rest of a row is -1 and 0."""
-    n_docs, n_langs = len(first) - 1, model.shape[1]
+    n_docs, n_langs = len(first) - 1, logs.shape[1]
     langs, shares = np.full((n_docs, n_langs), -1, np.int64), np.zeros((n_docs, n_langs))
-    if not len(cuts) - 1:
+    if not len(logs):
         return langs, shares
-    logs = np.empty((len(cuts) - 1, n_langs), np.float32)
-    for k in range(n_langs):
-        logs[:, k] = np.add.reduceat(model[:, k][gram], cuts[:-1])
     top = logs.max(1)
     theta, _ = expectation_maximisation(np.exp(logs - top[:, None]), top, first, ROUNDS)
     order = np.argsort(-theta, axis=1, kind="stable")
@@ -160,11 +183,12 @@ def infer(gram: np.ndarray, cuts: np.ndarray, first: np.ndarray, model: np.ndarr
 def predict_with(langs: list[str], model):
     def run(batches):
         for batch in batches:
-            for part in c.slices(batch, most=max(1 << 16, (c.SLICE_BYTES * 4) // max(4, len(langs)))):
+            most = max(1 << 16, (c.SLICE_BYTES * 4) // max(4, len(langs)))
+            for part in c.slices(batch, most=most):
                 data, off = c.buffers(part.column("text"))
                 letter = part.column("letter").to_numpy(zero_copy_only=False)
                 if langs:
-                    which, share = infer(*grams(data, off), model.value)
+                    which, share = infer(*logs_of(data, off, model.value, most))
                 else:
                     which, share = np.full((part.num_rows, 1), -1), np.zeros((part.num_rows, 1))
                 which = np.where(letter[:, None], which, -1)

@@ -122,7 +122,9 @@ def windows_of(n_buckets: int, length: int, period: int):
             for part in c.slices(batch):
                 data, off = c.buffers(part.column("text"))
                 (roll, first), (roll2, _) = sequence(data, off), sequence(data, off, 1)
-                doc, p = c.each_string(part, first, period - 1, length)
+                where = part.column("at")
+                of = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(where.offsets, np.int64)))
+                doc, p = c.each_string(of, where.flatten().to_numpy(zero_copy_only=False).astype(np.int64), first, period - 1, length)
                 did, tag = (part.column(x).to_numpy(zero_copy_only=False) for x in ("did", "tag"))
                 held.append([roll(p, p + length), roll2(p, p + length), did[doc], tag[doc], (p - first[doc]).astype(np.uint32)])
                 if sum(len(x[0]) for x in held) >= FLUSH:

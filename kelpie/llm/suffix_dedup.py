@@ -100,8 +100,8 @@ def equal_to_previous(data: np.ndarray, sa: np.ndarray, length: int) -> np.ndarr
 # ------------------------------------------------------------------ anchors
 
 
-def find_anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(document, place in it, gram hash, hash of surroundings) of each anchor of a slice."""
+def find_anchors(data: np.ndarray, off: np.ndarray, length: int, own: tuple[int, int] | None = None) -> tuple[np.ndarray, ...]:
+    """(document, place in it, gram hash, hash of surroundings) of each anchor of a slice. own: where the strings start that count."""
     k = length // 2
     n, reach = len(data), length - k
     none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
@@ -117,7 +117,9 @@ def find_anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.nda
     if wanted > width:
         least = np.minimum(least[: -(wanted - width)], least[wanted - width :])
     ends = np.repeat(off[1:], np.diff(off))[: n - length + 1]
-    chosen = (least & np.uint64(0xFFFFFFFF))[ends - np.arange(n - length + 1) >= length].astype(np.int64)
+    start = np.arange(n - length + 1)
+    lo, hi = own or (0, n)
+    chosen = (least & np.uint64(0xFFFFFFFF))[(ends - start >= length) & (start >= lo) & (start < hi)].astype(np.int64)
     if not len(chosen):
         return none
     at = chosen[np.r_[True, chosen[1:] != chosen[:-1]]]
@@ -149,13 +151,13 @@ def anchors_of(n_buckets: int, length: int):
             first[twice] = firsts([x[twice] for x in cols])
             yield from c.route_anchors(cols, first, n_buckets)
 
+        reach = length - length // 2
         for batch in batches:
-            for part in c.slices(batch):
-                data, off = c.buffers(part.column("text"))
-                doc, at, gram, around = find_anchors(data, off, length)
+            for part, data, off, base, own in c.stretches(batch, reach, reach + length):
+                doc, at, gram, around = find_anchors(data, off, length, own)
                 if len(doc):
                     did, tag = (part.column(x).to_numpy(zero_copy_only=False) for x in ("did", "tag"))
-                    held.append([gram, around, did[doc], tag[doc], at.astype(np.uint32)])
+                    held.append([gram, around, did[doc], tag[doc], (at + base).astype(np.uint32)])
                 if sum(len(x[0]) for x in held) >= FLUSH:
                     yield from flush()
         if held:
@@ -180,11 +182,10 @@ def strings_of(n_buckets: int, length: int):
             yield from c.route_strings(cols, firsts, n_buckets)
 
         for batch in batches:
-            for part in c.slices(batch):
-                data, off = c.buffers(part.column("text"))
-                doc, p = c.each_string(part, off, length - length // 2, length)
+            for part, data, off, base, of, at in c.places(batch, length, length):
+                doc, p = c.each_string(of, at, off, length - length // 2, length)
                 did, tag = (part.column(x).to_numpy(zero_copy_only=False) for x in ("did", "tag"))
-                held.append([c.Rolling(data)(p, p + length), c.Rolling(data, 1)(p, p + length), did[doc], tag[doc], (p - off[doc]).astype(np.uint32)])
+                held.append([c.Rolling(data)(p, p + length), c.Rolling(data, 1)(p, p + length), did[doc], tag[doc], (p - off[doc] + base).astype(np.uint32)])
                 if sum(len(x[0]) for x in held) >= FLUSH:
                     yield from flush()
         if held:
@@ -204,12 +205,7 @@ def pieces_of(n_buckets: int, length: int):
 
     def run(batches):
         for batch in batches:
-            for part in c.slices(batch):
-                data, off = c.buffers(part.column("text"))
-                where = part.column("at")
-                cut = np.asarray(where.offsets, np.int64)
-                at = where.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                doc = np.repeat(np.arange(part.num_rows), np.diff(cut))
+            for part, data, off, base, doc, at in c.places(batch, length, length):
                 roll = c.Rolling(data)
                 begin, end = off[doc], off[doc + 1]
                 a = begin + at
@@ -225,7 +221,7 @@ def pieces_of(n_buckets: int, length: int):
                 for i in range(0, len(key), 20_000):
                     j = slice(i, i + 20_000)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array((key[j] % np.uint64(n_buckets)).astype(np.int32)), pa.array(key[j].view(np.int64)), pa.array(did[d[j]]), pa.array(tag[d[j]]), pa.array((lo[j] - off[d[j]]).astype(np.int32)), pa.array([raw[x:y] for x, y in zip(lo[j], hi[j], strict=True)], pa.binary())],
+                        [pa.array((key[j] % np.uint64(n_buckets)).astype(np.int32)), pa.array(key[j].view(np.int64)), pa.array(did[d[j]]), pa.array(tag[d[j]]), pa.array((lo[j] - off[d[j]] + base).astype(np.int32)), pa.array([raw[x:y] for x, y in zip(lo[j], hi[j], strict=True)], pa.binary())],
                         names=["bucket", "key", "did", "tag", "at", "body"],
                     )
 

@@ -92,3 +92,21 @@ def test_repeated_rows_share_results(spark):
     for rows in (quality.resample(twice, labels), language_id.identify(twice), pii.pii_digest(twice), mixing.mix_digest(twice)):
         out = [tuple(map(str, r)) for r in rows.collect()]
         assert len(out) == twice.count() and all(n % 2 == 0 for n in Counter(out).values())
+
+
+def test_pieces_of_a_long_text_are_one_text():
+    rng = np.random.default_rng(22)
+    raw = (" " + " ".join("".join(rng.choice(list("abcé .,1")) for _ in range(rng.integers(1, 12))) for _ in range(3000)) + "\n x" + "y" * 900 + " ").encode()
+    data, off = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+    model = rng.standard_normal((language_id.GRAMS, 3)).astype(np.float32)
+    whole, first = language_id.logs_of(data, off, model, len(raw))
+    cut, again = language_id.logs_of(data, off, model, 257)
+    assert len(whole) > 1000 and np.array_equal(first, again) and np.allclose(whole, cut)
+    plain = np.where(common.SPACES[data], 0x20, data).astype(np.uint8)
+    starts, ends, _ = common.words(plain, off)
+    want = common.Rolling(plain)(starts, ends)
+    old, common.SLICE_BYTES = common.SLICE_BYTES, 300
+    try:
+        assert np.array_equal(common.word_hashes(plain, starts, ends), want)
+    finally:
+        common.SLICE_BYTES = old

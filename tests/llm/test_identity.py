@@ -235,7 +235,7 @@ def test_sets_of_languages():
     rng.shuffle(langs)
     gram = np.concatenate([rng.integers(k * 1000, (k + 1) * 1000, 3) for k in langs])
     one = rng.integers(4000, 5000, 300)
-    which, part = language_id.infer(np.concatenate([gram, one]), np.arange(0, 3 * 500 + 1, 3), np.array([0, 400, 500]), model)
+    which, part = language_id.infer(language_id.word_logs(np.concatenate([gram, one]), np.arange(0, 3 * 500 + 1, 3), model), np.array([0, 400, 500]))
     assert which[0, 0] == 0 and sorted(which[0].tolist()) == [-1, 0, 1, 2, 3] and abs(part[0, 0] - 0.4) < 0.02
     assert which[1].tolist() == [4, -1, -1, -1, -1] and part[1, 0] > 0.99
 
