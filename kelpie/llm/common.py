@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A null doc_id is ordered after every other.
@@ -136,6 +136,20 @@ def identified(docs: DataFrame) -> DataFrame:
     return rows.join(twice.withColumn("again", F.lit(True)), "did", "left").select("doc_id", "did", tag, "text")
 
 
+def sums_before(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with, for each name, the sum of a column over the rows that stand before in an order. Rows are dealt to partitions by range and written;
+    what comes before a partition is added to what comes before within it, so no task sees all rows."""
+    names = list(sums)
+    dealt = stage(df.repartitionByRange(partitions(df.sparkSession), *order).withColumn("_part", F.spark_partition_id()).withColumns({f"_{n}": x for n, x in sums.items()}))
+    parts = dealt.groupBy("_part").agg(*[F.sum(f"_{n}").alias(f"_all_{n}") for n in names])
+    # One row for each partition.
+    whole = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("_part", *[F.coalesce(F.sum(f"_all_{n}").over(whole), F.lit(0)).alias(f"_from_{n}") for n in names])
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.join(F.broadcast(starts), "_part")
+    return out.select(*df.columns, *[(F.coalesce(F.sum(f"_{n}").over(within), F.lit(0)) + F.col(f"_from_{n}")).alias(n) for n in names])
+
+
 # ------------------------------------------------------------------ buffers of Arrow strings
 
 

@@ -2,14 +2,13 @@
 
 Words are added up for each source, a water level shares the budget, and each document is emitted floor(rate) times plus
 once more with a probability of the rate's fraction, the coin being a hash of a seed and the doc_id. So a rerun gives the
-same mix, each document's copies depend on its own row and its source's rate alone, and the only thing that is
-gathered is one row per source.
+same mix, and each document's copies depend on its own row and its source's rate alone.
 
 Water level
     Sources in order of code point, null last, take the weights of WEIGHTS in turn. Targets share ``share`` of all words by
     weight and stop at ``cap`` times the source's words; what is above is shared again by weight until none is above. With
-    sources sorted by words over weight, those that stop are a prefix, so the level is found by running sums in one pass
-    over the sources.
+    sources sorted by words over weight, those that stop are a prefix, so the level is found by running sums over the
+    sources, which are dealt out by range: no task sees all of them.
 
 Defined cases
     Null source: a source of its own, last. Null text: no words, so no copies are counted. Null doc_id: the coin of ``null``.
@@ -20,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpie.llm import common as c
@@ -37,20 +36,19 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     if cap < share:
         raise ValueError("the cap must not be below the share")
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # One row per source from here on.
-    everything = Window.partitionBy()
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    named = totals.withColumn("weight", weight)
-    filling = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    budget = F.sum("source_size").over(everything) * F.lit(share)
-    all_weight = F.sum("weight").over(everything)
-    level_before = (budget - F.coalesce(F.sum("source_size").over(filling), F.lit(0)) * F.lit(cap)) / (all_weight - F.coalesce(F.sum("weight").over(filling), F.lit(0.0)))
-    marked = named.withColumn("full", F.col("source_size") * F.lit(cap) <= level_before * F.col("weight")).withColumn("budget", budget)
-    left = F.col("budget") - F.sum(F.when(F.col("full"), F.col("source_size") * F.lit(cap)).otherwise(0.0)).over(everything)
-    open_weight = F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("weight"))).over(everything)
-    target = F.when(F.col("full"), F.col("source_size") * F.lit(cap)).otherwise(left * F.col("weight") / open_weight)
-    return marked.withColumn("target", target.cast("double")).select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
+    placed = c.sums_before(totals, [F.col("source").asc_nulls_last()], {"place": F.lit(1)})
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
+    filling = [F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last()]
+    named = c.sums_before(placed.withColumn("weight", weight).drop("place"), filling, {"filled": F.col("source_size"), "filled_weight": F.col("weight")})
+    # Sums over all sources are one row.
+    everything = named.agg((F.sum("source_size") * F.lit(share)).alias("budget"), F.sum("weight").alias("all_weight"))
+    level_before = (F.col("budget") - F.col("filled") * F.lit(cap)) / (F.col("all_weight") - F.col("filled_weight"))
+    marked = named.crossJoin(F.broadcast(everything)).withColumn("full", F.col("source_size") * F.lit(cap) <= level_before * F.col("weight"))
+    stopped = F.sum(F.when(F.col("full"), F.col("source_size") * F.lit(cap)).otherwise(0.0))
+    rest = marked.agg((F.any_value("budget") - stopped).alias("left"), F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("weight"))).alias("open_weight"))
+    target = F.when(F.col("full"), F.col("source_size") * F.lit(cap)).otherwise(F.col("left") * F.col("weight") / F.col("open_weight"))
+    out = marked.crossJoin(F.broadcast(rest)).withColumn("target", target.cast("double"))
+    return out.select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
 
 
 def plan_copies(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
