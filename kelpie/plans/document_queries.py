@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kelpie.operators import headline, quality, upkeep
 from kelpie.plans.registry import query, table
+from kelpie.sources.documents import flatten
 
 # ------------------------------------------------------------------ the headline
 
@@ -37,6 +38,16 @@ def headline_fields(spark, sf_dir):
     return headline.headline(documents_of(table(spark, sf_dir, "orders")), "o_orderkey")
 
 
+_LEAVES = {path: _leaf(i, name) for i, (name, path, _) in enumerate(headline.HEADLINE)} | {f"{b}.available": t for b, t in _GATE.items()}
+
+
+@query("SELECT o_orderkey, " + ", ".join(f"{t} AS {path.replace('.', '__')}" for path, t in _LEAVES.items()) + " FROM orders")
+def flatten_nested(spark, sf_dir):
+    """Every scalar of nested documents under its path."""
+    flat = flatten(documents_of(table(spark, sf_dir, "orders")))
+    return flat.toDF(*[c.replace(".", "__") for c in flat.columns])
+
+
 _TRAITS = {
     "four_on_the_floor": "CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 2 = 0 END", "backbeat": "CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 3 = 0 END",
     "swing_ratio": "CASE WHEN o_orderkey % 4 <> 0 THEN 1 + (o_orderkey % 10) / CAST(10.0 AS DOUBLE) END", "loop": "CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 8 END",
