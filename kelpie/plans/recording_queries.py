@@ -221,3 +221,43 @@ def harmonic_share(spark, sf_dir):
     across = F.percentile("mag", 0.5).over(Window.partitionBy("user_id", "frame").orderBy("bin").rowsBetween(-2, 2))
     h = m.withColumn("along", along).withColumn("across", across)
     return h.groupBy("user_id").agg(F.round(F.sum(F.when(F.col("along") >= F.col("across"), F.col("mag")).otherwise(0.0)) / F.sum("mag"), 4).alias("harmonic_share"))
+
+
+_SMALL = signal.second_order("high pass", 300.0, math.sqrt(0.5), 8000.0)
+_OUT = "({b[0]!r} * s.value + {b[1]!r} * g.x1 + {b[2]!r} * g.x2 - {a[0]!r} * g.y1 - {a[1]!r} * g.y2)".format(b=_SMALL[0], a=_SMALL[1])
+
+
+@query(f"""WITH RECURSIVE {SIGNAL}, go AS (SELECT DISTINCT user_id, -1::BIGINT AS i, 0.0::DOUBLE AS x1, 0.0::DOUBLE AS x2, 0.0::DOUBLE AS y1, 0.0::DOUBLE AS y2, 0.0::DOUBLE AS e, 0.0::DOUBLE AS p FROM sig
+  UNION ALL SELECT s.user_id, s.i, s.value, g.x1, {_OUT}, g.y1, g.e + {_OUT} ** 2, g.p + s.value ** 2 FROM go g JOIN sig s ON s.user_id = g.user_id AND s.i = g.i + 1)
+SELECT user_id, round(10 * log10(arg_max(e, i) / arg_max(p, i)), 6) AS loss_db FROM go WHERE i >= 0 GROUP BY user_id""")
+def small_speaker(spark, sf_dir):
+    """What a loudspeaker without lows takes from a level."""
+    s = samples(spark, sf_dir).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"]).alias("v"))
+    plain = F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x)
+    return s.select("user_id", F.round(10 * F.log10(signal.weighted_energy(F.col("v"), [_SMALL]) / plain), 6).alias("loss_db"))
+
+
+@query("""WITH w AS (SELECT d.doc_id, a.attempt, a.k FROM documents d, LATERAL (VALUES (1, 'code:' || d.doc_id), (2, 'title:' || d.lang || ':' || d.source), (3, 'lang:' || d.lang)) a(attempt, k)),
+c AS (SELECT 'code:' || page_id AS k, 'first' AS provider, page_id AS answer FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT 'title:' || lang || ':' || source, 'second', min(doc_id) FROM documents WHERE doc_id % 3 = 0 GROUP BY lang, source UNION ALL SELECT 'lang:en', 'third', 0),
+m AS (SELECT doc_id, attempt, provider, answer, row_number() OVER (PARTITION BY doc_id ORDER BY attempt) AS n FROM w JOIN c USING (k))
+SELECT d.doc_id, attempt::INT AS attempt, provider, answer FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id AND n = 1""")
+def lookup_ladder(spark, sf_dir):
+    """Kept answers of providers, asked in order of how sure the question is: by code, by title, by what is left. The first answer stands."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    text_of = lambda c: F.col(c).cast("string")
+    asked = F.array(F.concat(F.lit("code:"), text_of("doc_id")), F.concat(F.lit("title:"), "lang", F.lit(":"), text_of("source")), F.concat(F.lit("lang:"), "lang"))
+    w = d.select("doc_id", F.posexplode(asked).alias("p", "k")).withColumn("attempt", F.col("p") + 1)
+    codes = table(spark, sf_dir, "pages").filter("page_id % 2 = 0").select(F.concat(F.lit("code:"), text_of("page_id")).alias("k"), F.lit("first").alias("provider"), F.col("page_id").alias("answer"))
+    titles = d.filter("doc_id % 3 = 0").groupBy(F.concat(F.lit("title:"), "lang", F.lit(":"), text_of("source")).alias("k")).agg(F.lit("second").alias("provider"), F.min("doc_id").alias("answer"))
+    rest = spark.createDataFrame([("lang:en", "third", 0)], "k string, provider string, answer long")
+    best = w.join(codes.unionByName(titles).unionByName(rest), "k").groupBy("doc_id").agg(F.min_by(F.struct("attempt", "provider", "answer"), "attempt").alias("b"))
+    return d.select("doc_id").join(best, "doc_id", "left").select("doc_id", "b.attempt", "b.provider", "b.answer")
+
+
+@query(f"""WITH {SIGNAL}, {_FRAMES}, m AS (SELECT user_id, s, bin, (re * re + im * im) / ww AS p FROM d WHERE bin > 0), f AS (SELECT user_id, s, sum(p) FILTER (bin BETWEEN 5 AND 7) / sum(p) AS share FROM m GROUP BY user_id, s HAVING sum(p) > 0)
+SELECT user_id, count(*)::BIGINT AS frames, count(*) FILTER (share > 0.4)::BIGINT AS sibilant, round(max(share), 4) AS most FROM f GROUP BY user_id""")
+def sibilance(spark, sf_dir):
+    """Frames in which a high band holds more than its part."""
+    m = signal.frame_spectra(samples(spark, sf_dir), "user_id", "i", "value", 16).filter("bin > 0").withColumn("p", F.col("mag") * F.col("mag"))
+    f = m.groupBy("user_id", "frame").agg(F.sum(F.when(F.col("bin").between(5, 7), F.col("p"))).alias("high"), F.sum("p").alias("all")).filter("all > 0").withColumn("share", F.col("high") / F.col("all"))
+    return f.groupBy("user_id").agg(F.count("*").alias("frames"), F.count_if(F.col("share") > 0.4).alias("sibilant"), F.round(F.max("share"), 4).alias("most"))

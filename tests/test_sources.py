@@ -110,3 +110,30 @@ def test_upsert_and_log_are_idempotent(spark, tmp_path):
     rows = spark.createDataFrame([("k", "2024-01-01", 1.0), ("k", "2024-01-01", 2.0), ("k", "2024-01-02", 1.0)], "metric string, day string, value double")
     assert incremental.append_observations(spark, log, rows, ["metric", "day"]) == 2
     assert incremental.append_observations(spark, log, rows, ["metric", "day"]) == 0
+
+
+def test_settings_and_roots(spark, tmp_path):
+    from kelpie.sources import settings
+
+    (tmp_path / "env").write_text('# keys\nexport KEY="a b"\nOTHER=1 # one\n\nbad line\nEMPTY=\n')
+    assert settings.read_settings(spark, str(tmp_path / "env")) == {"KEY": "a b", "OTHER": "1", "EMPTY": ""}
+    assert settings.roots_with(settings.roots_with("", "b", "/x/"), "a", "/y") == '{"a": "/y", "b": "/x"}'
+
+
+def test_undecodable_files_have_a_reason(spark, tmp_path):
+    from kelpie.sources import media
+
+    (tmp_path / "a.wav").write_bytes(b"RIFF")
+    got = media.undecodable(spark, str(tmp_path)).collect()
+    assert len(got) == 1 and got[0].path.endswith("a.wav") and got[0].reason
+    assert media.read_blocks(spark, str(tmp_path)).count() == 0
+
+
+def test_documents_are_found_in_order(spark, tmp_path):
+    from kelpie.sources import documents
+
+    for name in ("b", "a"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "analysis.json").write_text("{}")
+        (tmp_path / name / "other.json").write_text("{}")
+    assert [r.folder.rsplit("/", 1)[1] for r in documents.find_documents(spark, str(tmp_path)).collect()] == ["a", "b"]
