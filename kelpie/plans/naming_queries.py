@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kelpie.functions import exprs, genres, naming
 from kelpie.operators import linkage, text
 from kelpie.plans.registry import query, table
+from kelpie.sources.staging import spread
 
 #: What the tables' plain names are dressed with, by key.
 TITLES = ("", " (Official Audio)", " - Live Version", " (feat. Zoë & Åsa)", " [Remastered 2011]", " - Radio Edit", " (Live at Home)", " & Friends", " (Radio Edit) [Deluxe]", " — Slowed + Reverb", " (Acoustic Demo)", " Ça Vá!")
@@ -47,7 +48,7 @@ def sql_unpacked(x: str) -> str:
 def fold_text(spark, sf_dir):
     """Whole texts folded for loose comparison."""
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(naming.fold(t)).alias("folded_md5"), F.md5(naming.squash_name(t)).alias("squashed_md5"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.md5(naming.fold(t)).alias("folded_md5"), F.md5(naming.squash_name(t)).alias("squashed_md5"))
 
 
 @query(rf"""WITH {TITLED}, u AS (SELECT *, {sql_unpacked('title')} AS un, regexp_replace(title, '\s*[\(\[][^\)\]]*[\)\]]\s*', ' ', 'g') AS nb FROM titled)
@@ -182,7 +183,7 @@ SELECT doc_id, CASE WHEN letters = 0 THEN NULL {' '.join(f"WHEN top.script = '{s
   CASE WHEN letters = 0 THEN 'none' WHEN top.script <> 'latin' THEN 'medium' WHEN -ranked[1].k > 0.08 AND ranked[2].k - ranked[1].k > 0.02 THEN 'medium' ELSE 'low' END AS confidence FROM o""")
 def language_by_script(spark, sf_dir):
     """Language by script first, then by frequent words of eight languages, with the margin as confidence."""
-    return text.language_of(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return text.language_of(spread(table(spark, sf_dir, "documents")), "doc_id", "text")
 
 
 @query("""WITH s AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_size || 'k' WHEN 1 THEN (p_size / 2.0) || 'M' WHEN 2 THEN p_size::VARCHAR WHEN 3 THEN p_size || ' GB' ELSE 'x' || p_size END AS s, p_retailprice AS v FROM part)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kelpie.functions import exprs
 from kelpie.operators import text
 from kelpie.plans.registry import query, table
+from kelpie.sources.staging import spread
 
 WORDS = "regexp_extract_all(lower(text), '[a-zà-öø-ÿß'']+')"
 
@@ -16,7 +17,7 @@ WORDS = "regexp_extract_all(lower(text), '[a-zà-öø-ÿß'']+')"
 SELECT doc_id, len(w)::BIGINT AS n_words, len(list_distinct(w))::BIGINT AS n_distinct, round(CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w) END, 6) AS ttr, len(l)::BIGINT AS n_lines,
   round(CASE WHEN len(l) > 0 THEN 100.0 * (len(l) - len(list_distinct(l))) / len(l) END, 4) AS repeated_pct FROM t""")
 def lyric_stats(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select("doc_id", text.words(F.col("text")).alias("w"), text.lines(F.col("text")).alias("l"))
+    t = spread(table(spark, sf_dir, "documents")).select("doc_id", text.words(F.col("text")).alias("w"), text.lines(F.col("text")).alias("l"))
     n, d, k, u = F.size("w"), F.size(F.array_distinct("w")), F.size("l"), F.size(F.array_distinct("l"))
     return t.select("doc_id", n.cast("long").alias("n_words"), d.cast("long").alias("n_distinct"), F.round(F.when(n > 0, d / n), 6).alias("ttr"), k.cast("long").alias("n_lines"), F.round(F.when(k > 0, 100.0 * (k - u) / k), 4).alias("repeated_pct"))
 
@@ -27,7 +28,7 @@ _PRONOUNS = ", ".join(f"round(100.0 * len(list_filter(w, lambda x: x IN ({', '.j
 @query(f"WITH t AS (SELECT doc_id, {WORDS} AS w FROM documents) SELECT doc_id, {_PRONOUNS} FROM t WHERE len(w) > 0")
 def pronoun_shares(spark, sf_dir):
     """How many of the words are pronouns of each person."""
-    t = table(spark, sf_dir, "documents").select("doc_id", text.words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    t = spread(table(spark, sf_dir, "documents")).select("doc_id", text.words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     among = lambda listed: lambda x: x.isin(*listed)
     return t.select("doc_id", *[F.round(100.0 * F.size(F.filter("w", among(listed))) / F.size("w"), 6).alias(f"{name}_pct") for name, listed in text.PRONOUNS.items()])
 
@@ -39,7 +40,7 @@ l AS (SELECT doc_id, gram AS longest_gram, n::INT AS longest_n, times::BIGINT AS
 SELECT * FROM m JOIN l USING (doc_id)""")
 def repeated_ngrams(spark, sf_dir):
     """The most repeated run of two to eight words of each text (ties: the longer, then the first), and the longest repeated one (ties: the more often, then the first)."""
-    return text.repeated_runs(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return text.repeated_runs(spread(table(spark, sf_dir, "documents")), "doc_id", "text")
 
 
 @query("""WITH l AS (SELECT doc_id, list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), lambda x: regexp_extract(lower(x), '([a-zà-öø-ÿß'']+)[^a-zà-öø-ÿß'']*$', 1)) AS e FROM documents),
@@ -49,13 +50,13 @@ p AS (SELECT a.doc_id, count(*) FILTER (a.rime <> '' AND a.rime = b.rime AND a.w
   FROM r a JOIN r b ON a.doc_id = b.doc_id AND b.i - a.i BETWEEN 1 AND 4 GROUP BY a.doc_id)
 SELECT doc_id, coalesce(perfect, 0)::BIGINT AS perfect, coalesce(slant, 0)::BIGINT AS slant FROM documents LEFT JOIN p USING (doc_id)""")
 def rhyme_pairs(spark, sf_dir):
-    return text.rhyme_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return text.rhyme_pairs(spread(table(spark, sf_dir, "documents")), "doc_id", "text")
 
 
 @query(f"""WITH t AS (SELECT unnest({WORDS}) AS word FROM documents), c AS (SELECT word, count(*) AS n FROM t GROUP BY word)
 SELECT word, n::BIGINT AS n, round(n / sum(n) OVER (), 8) AS share, CASE WHEN n >= 100 THEN 'usable' ELSE 'thin' END AS flag FROM c""")
 def vocab_share(spark, sf_dir):
-    c = table(spark, sf_dir, "documents").select(F.explode(text.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    c = spread(table(spark, sf_dir, "documents")).select(F.explode(text.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     total = c.agg(F.sum("n").alias("all"))
     return c.crossJoin(F.broadcast(total)).select("word", "n", F.round(F.col("n") / F.col("all"), 8).alias("share"), F.when(F.col("n") >= 100, "usable").otherwise("thin").alias("flag"))
 
@@ -87,14 +88,14 @@ def date_precision(spark, sf_dir):
 SELECT doc_id, sum(n)::BIGINT AS syllables, round(206.835 - 1.015 * count(*) - 84.6 * sum(n) / count(*), 9) AS flesch FROM s GROUP BY doc_id""")
 def syllable_count(spark, sf_dir):
     """Whole text as one sentence; sums stay inside the row, nothing is exploded."""
-    t = table(spark, sf_dir, "documents").select("doc_id", text.words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    t = spread(table(spark, sf_dir, "documents")).select("doc_id", text.words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     n = F.aggregate("w", F.lit(0), lambda a, x: a + exprs.syllables(x))
     return t.select("doc_id", n.cast("long").alias("syllables"), F.round(206.835 - 1.015 * F.size("w") - 84.6 * n / F.size("w"), 9).alias("flesch"))
 
 
 @query()
 def compression_ratio(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(text.compression_ratio("text"), 6).alias("ratio"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.round(text.compression_ratio("text"), 6).alias("ratio"))
 
 
 @query()

@@ -22,6 +22,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Bytes of a table that is dealt out anew where it has fewer files than there are cores.
+SMALL_INPUT = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table of a few files over all cores: one file of one row group is one task otherwise, however much is done with each row.
+    Tables of as many files as cores, or over SMALL_INPUT bytes, stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SMALL_INPUT else df
+
+
 #: Tables that are still there; the session's end takes them.
 _staged: set[str] = set()
 
