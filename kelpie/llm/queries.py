@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from kelpie.llm import decontamination, embedding_dedup, language_id, mixing, pii, quality, sharding, substring_dedup
 from kelpie.llm.simhash_dedup import simhash_dedup
 from kelpie.llm.suffix_dedup import suffix_dedup
+from kelpie.sources.staging import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
