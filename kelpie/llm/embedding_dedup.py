@@ -210,6 +210,7 @@ def embedding_dedup(rows: DataFrame, threshold: float = THRESHOLD, trees: int =
     dealt = placed.join(large, "leaf", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("i", F.least("tile", "o")).withColumn("j", F.greatest("tile", "o"))
     found = c.stage(dealt.select("leaf", "i", "j", "tile", "node", "n", "vec").groupBy("leaf", "i", "j").applyInArrow(compare_leaf(model, threshold, dim, kind), "a long, b long, n long"))
+    c.release(placed)
     counts = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("more"))
     reached = components(found.filter("b is not null").select("a", "b"))
     named = classes.select("k1", "k2", "node", "first", "n").join(counts, "node", "left").join(reached, "node", "left")
