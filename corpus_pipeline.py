@@ -5,7 +5,7 @@ shard of each row. ``run`` writes each stage's result in the shared folder and r
 
 * language_id drops documents without a letter, and those whose main language holds under half of their words.
 * simhash_dedup keeps, of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 or more, the least doc_id:
-  SimHash fingerprints are compared bit-sliced within buckets, and what they leave is compared exactly.
+  SimHash fingerprints propose what is compared: tables of their bits, all of a bucket bit-sliced; what is near is compared exactly.
 * decontaminate drops documents that overlap a benchmark item.
 * mix_sources repeats or thins documents by their source's rate; copies keep their doc_id.
 * shard adds ``shard`` (0 to 15) and ``slot`` (from 0 in each shard).

@@ -3,18 +3,21 @@
 Sets
     A-Z are lower-cased, words are runs of other than space, tab to return, and each run of ``SHINGLE`` words (fewer: the whole
     sequence) is hashed to 64 bits. A text is the set of these hashes; texts of equal sets are one class from the start. The
-    fingerprint of a set has a bit where over half of its hashes have it.
+    fingerprint of a set has a bit where over half of its hashes, mixed anew for each word of 64 bits, have it.
 
 Candidates
-    ``BANDS`` bands of ``ROWS`` least hashes each; classes that agree on a band share a bucket. A pair at similarity 0.8 shares none with
-    probability (1 - 0.8 ** 5) ** 40 = 1.2e-7, pairs above it with less. No bucket is capped and no shingle skipped. (At 0.8,
-    fingerprints of 64 bits differ in ten bits on average, too many for buckets of agreeing bits alone.)
+    Fingerprints of ``WORDS`` * 64 bits are put in tables, each by a choice of its bits (positions from a fixed seed); fingerprints that agree on
+    a table's bits share a bucket, where all are compared: bit-sliced on the first word as in simhash_dedup (``NEAR`` bits), then on
+    each word and on all (``FAR`` bits). What reaches each other by such steps in a bucket is a group, which many tables find and one row names; what has none
+    within these bits goes. No bucket is capped and no shingle skipped. Sets at 0.8 differ in a bit with
+    probability 0.15 or 0.16, those of four and five shingles with ``DIFFER`` = 0.1875. ``tables_for`` lets bits grow with the corpus, so that an evenly spread
+    bucket holds ``BUCKET`` at any size, and tables with the bits, so that independent bits would part a pair of DIFFER in all tables with probability ``LOST``.
+    As tables draw from the same 256 bits it is more: 1.3e-5 at 0.15 and 7e-4 at DIFFER for 139 tables of 12 bits. Tables are dealt ``AT_ONCE`` at a time.
 
 Links
-    In a bucket, fingerprints are compared bit-sliced, as in simhash_dedup, and pairs over ``NEAR`` bits apart are given up; sets at 0.8 differ in
-    a bit with probability 0.15 (0.19 in very small sets), so a pair is lost here with probability below 1e-5. Those that stay are compared exactly, whole
-    set with whole set, and only that makes a link. In ``STARS`` rounds each class is compared with one other of its buckets, so a
-    large group of near copies is joined by a comparison for each of them. Then all pairs of buckets that still hold classes of more than one
+    A pair at 0.8 is over NEAR or FAR bits apart with probability below 1e-5 (sets of four and five shingles: 1e-4). Candidates of a group are compared
+    exactly, whole set with whole set, and only that makes a link. In ``STARS`` rounds each class is compared with one other of its groups, so a
+    large group of near copies is joined by a comparison for each of them. Then all pairs of groups that still hold classes of more than one
     component are compared, in tiles; pairs are never written out.
 
 Defined cases
@@ -23,6 +26,9 @@ Defined cases
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +38,11 @@ from kelpie.llm import common as c
 from kelpie.llm.components import components, merge
 from kelpie.llm.simhash_dedup import keep_first, near_pairs
 
-SHINGLE, LEAST, BANDS, ROWS, STARS, NEAR = 5, 0.8, 40, 5, 2, 28
+SHINGLE, LEAST, STARS, NEAR = 5, 0.8, 2, 28
+#: Words of a fingerprint, and bits that near ones differ in; what tables are counted for, and how many are dealt at once.
+WORDS, FAR, BUCKET, DIFFER, LOST, AT_ONCE = 4, 72, 512, 0.1875, 1e-5, 24
+#: Rows (class, table) of a map batch routed at once, and rows of a bucket compared at once.
+FLUSH, SQUARE = 1 << 18, 512
 #: Classes and hashes of a bucket compared at once, and shared shingles of a tile multiplied at once.
 TILE, TILE_HASHES, WIDE = 256, 1 << 18, 8192
 
@@ -52,32 +62,116 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> t
     return h[new], np.searchsorted(doc[new], np.arange(len(n) + 1))
 
 
-def band_keys(h: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """A row of ``BANDS`` keys for each set that is not empty."""
-    starts = off[:-1][np.diff(off) > 0]
-    seeds = np.random.default_rng(SHINGLE).integers(0, 2**64, (BANDS, ROWS, 2), np.uint64)
-    out = np.zeros((len(starts), BANDS), np.uint64)
-    for b in range(BANDS if len(starts) else 0):
-        key = np.full(len(starts), b, np.uint64)
-        for flip, times in seeds[b]:
-            key = c.mix(key * np.uint64(c.BASES[0]) + np.minimum.reduceat((h ^ flip) * (times | np.uint64(1)), starts))
-        out[:, b] = key
-    return out
-
-
 def fingerprints(h: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """64 bits of each set: those that over half of its hashes have; none of an empty one."""
+    """A row of ``WORDS`` words for each set: the bits that over half of its hashes have; none of an empty one."""
     n = np.diff(off)
     some = np.flatnonzero(n)
-    out = np.zeros(len(n), np.uint64)
-    if len(some):
+    out = np.zeros((len(n), WORDS), np.uint64)
+    for w in range(WORDS if len(some) else 0):
         # Hashes of words are polynomial; a finaliser makes their bits independent.
-        bits = np.unpackbits(c.mix(h).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(c.mix(h + np.uint64(w * c.BASES[0] % 2**64)).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         totals = np.add.reduceat(bits, off[:-1][some], axis=0, dtype=np.int32)
-        out[some] = np.packbits(2 * totals > n[some][:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+        out[some, w] = np.packbits(2 * totals > n[some][:, None], axis=1, bitorder="little").view("<u8")[:, 0]
     return out
 
 
+def tables_for(classes: int) -> tuple[int, int]:
+    """(bits of a table, tables): buckets of evenly spread fingerprints hold at most BUCKET, and a pair is in none together with probability LOST."""
+    bits = max(4, math.ceil(math.log2(max(1, classes) / BUCKET)))
+    return bits, math.ceil(math.log(LOST) / math.log1p(-((1 - DIFFER) ** bits)))
+
+
+def table_bits(bits: int, tables: int) -> np.ndarray:
+    """The bits of each table: cuts of random orders of all bits, so that they are used alike."""
+    rng, each = np.random.default_rng(SHINGLE), 64 * WORDS // bits
+    return np.concatenate([rng.permutation(64 * WORDS)[: each * bits].reshape(each, bits) for _ in range(-(-tables // each))])[:tables]
+
+
+def table_keys(fp: np.ndarray, chosen: np.ndarray, table: int) -> np.ndarray:
+    """What fingerprints hold in the bits of a table, below the table's number."""
+    key = np.full(len(fp), table << 32, np.uint64)
+    for j, bit in enumerate(chosen.tolist()):
+        key |= ((fp[:, bit // 64] >> np.uint64(bit % 64)) & np.uint64(1)) << np.uint64(j)
+    return key
+
+
+def deal(chosen: np.ndarray, first: int, n_buckets: int):
+    """Rows (node, n, fp) to the buckets of their keys in tables ``first`` and on."""
+
+    def run(batches):
+        held: list[list[np.ndarray]] = []
+
+        def flush():
+            node, n, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            key = np.concatenate([table_keys(fp, bits, first + t) for t, bits in enumerate(chosen)])
+            node, n, fp = (np.concatenate([x] * len(chosen)) for x in (node, n, fp))
+            yield from c.route((c.mix(key) % np.uint64(n_buckets)).astype(np.int64), [key, node, n, *fp.T])
+
+        for batch in batches:
+            fp = batch.column("fp").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WORDS)
+            held.append([batch.column("node").to_numpy(zero_copy_only=False), batch.column("n").to_numpy(zero_copy_only=False), fp])
+            if sum(len(x[0]) for x in held) * len(chosen) >= FLUSH:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    return run
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which whole fingerprints differ."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int32)
+
+
+def near_groups(fp: np.ndarray, n: np.ndarray, least: float) -> np.ndarray:
+    """For each row of a bucket, in order of n, the first row of those that it reaches by near ones that are not too large or small."""
+    labels = np.arange(len(n))
+
+    def join(labels, i, j):
+        for w in range(WORDS):
+            near = np.bitwise_count(fp[i, w] ^ fp[j, w]) <= NEAR
+            i, j = i[near], j[near]
+        near = (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9) & (apart(fp[i], fp[j]) <= FAR)
+        return merge(labels, i[near], j[near])
+
+    # What is near the middle row is one group with it, so of a large group of near copies few are compared with all.
+    hub = np.full(len(n), len(n) // 2)
+    labels = join(labels, np.arange(len(n)), hub)
+    word, rest = np.ascontiguousarray(fp[:, 0]), np.flatnonzero(labels != labels[hub[0]])
+    for x in range(0, len(rest), SQUARE):
+        own = rest[x : x + SQUARE]
+        a, b = np.searchsorted(n, least * n[own[0]] - 1e-9), np.searchsorted(n, (n[own[-1]] + 1e-9) / least, "right")
+        if len(rest) >= len(n) - 1:  # all pairs with the middle row are done, so smaller ones have met these
+            a = own[0]
+        for y in range(a, b, SQUARE):
+            i, j = near_pairs(word[own], word[y : min(b, y + SQUARE)], NEAR)
+            labels = join(labels, own[i], j + y)
+    return labels
+
+
+def candidates(least: float):
+    """Of a bucket of routed rows, those (key, node, first word, n) that have another one of their key near; the key is now that of the nodes of their group,
+    the same in whatever table."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, node, n, *fp = c.unpack(c.blobs(table), ["u8", "i8", "i8", *["u8"] * WORDS])
+        order = np.lexsort((n, key))
+        key, node, n, fp = key[order], node[order], n[order], np.stack(fp, axis=1)[order]
+        cuts = np.flatnonzero(np.r_[c.run_starts(key), True])
+        labels = np.arange(len(key))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b - a > 1:
+                labels[a:b] = a + near_groups(fp[a:b], n[a:b], least)
+        sizes, sums = np.bincount(labels, minlength=len(key)), np.zeros(len(key), np.uint64)
+        np.add.at(sums, labels, c.mix(node.view(np.uint64)))
+        keep = sizes[labels] > 1
+        group = c.mix(sums + sizes.astype(np.uint64))[labels[keep]]
+        return pa.table({"key": pa.array(group.view(np.int64)), "node": pa.array(node[keep]), "fp": pa.array(np.ascontiguousarray(fp[keep, 0]).view(np.int64)), "n": pa.array(n[keep])})
+
+    return run
+
+
 def class_keys(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     """64 bits of each set, whatever the order of its hashes."""
     sums = np.zeros(len(h) + 1, np.uint64)
@@ -90,10 +184,8 @@ def sketches(batches):
         for part in c.slices(batch):
             h, off = shingle_sets(*c.buffers(part.column("text")))
             n = np.diff(off)
-            bands = np.zeros((len(n), BANDS), np.uint64)
-            bands[n > 0] = band_keys(h, off)
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(n > 0, BANDS, 0))].astype(np.int32)), pa.array(bands[n > 0].ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("did"), part.column("tag"), pa.array(class_keys(h, off).view(np.int64)), pa.array(fingerprints(h, off).view(np.int64)), pa.array(n), lists], names=["did", "tag", "node", "fp", "n", "bands"])
+            fp = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * WORDS), pa.array(fingerprints(h, off).ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("did"), part.column("tag"), pa.array(class_keys(h, off).view(np.int64)), fp, pa.array(n)], names=["did", "tag", "node", "fp", "n"])
 
 
 def whole_sets(batches):
@@ -169,16 +261,30 @@ def with_components(members: DataFrame, edges: DataFrame) -> DataFrame:
     return members.join(components(edges), "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component")
 
 
+def near_members(classes: DataFrame, least: float) -> DataFrame:
+    """(key, node, fp, n): the groups of near classes of buckets of tables, each group once, with the first word of their fingerprints."""
+    nb = c.buckets(classes.sparkSession)
+    # Sets of fewer hashes are at ``least`` with equal ones only.
+    large = classes.filter(F.col("n") * (1 - least) >= least - 1e-9).select("node", "n", "fp")
+    bits, tables = tables_for(large.count())
+    chosen = table_bits(bits, tables)
+    found = []
+    for first in range(0, tables, AT_ONCE):
+        dealt = large.mapInArrow(deal(chosen[first : first + AT_ONCE], first, nb), c.ROUTED)
+        found.append(c.stage(dealt.groupBy("bucket").applyInArrow(candidates(least), "key long, node long, fp long, n long")))
+    out = c.stage(reduce(DataFrame.unionByName, found).dropDuplicates(["key", "node"]))
+    c.release(*found)
+    return out
+
+
 def shingle_classes(docs: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
     """(did, tag, node of each row; node and first, the least (did, tag) of what its class reaches)."""
     spark = docs.sparkSession
     c.prepare(spark)
     given = docs.select(c.doc_key(), c.text_tag(), c.whole_text())
-    rows = c.stage(given.mapInArrow(sketches, "did long, tag long, node long, fp long, n long, bands array<long>"))
-    classes = c.stage(rows.groupBy("node").agg(F.min(F.struct("did", "tag")).alias("own_first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    dealt = classes.select(F.explode("bands").alias("key"), "node", "fp", "n")
-    several = dealt.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    members = c.stage(dealt.join(several, "key"))
+    rows = c.stage(given.mapInArrow(sketches, "did long, tag long, node long, fp array<long>, n long"))
+    classes = c.stage(rows.groupBy("node").agg(F.min(F.struct("did", "tag")).alias("own_first"), F.first("fp").alias("fp"), F.first("n").alias("n")))
+    members = near_members(classes, least)
     wanted = members.select("node").distinct().join(classes, "node").select("own_first.did", "own_first.tag").distinct()
     sets = c.stage(given.join(wanted, ["did", "tag"], "left_semi").mapInArrow(whole_sets, "node long, set binary").dropDuplicates(["node"]))
     edges = c.stage(spark.createDataFrame([], "a long, b long"))
@@ -192,11 +298,11 @@ def shingle_classes(docs: DataFrame, least: float = LEAST) -> tuple[DataFrame, D
         last, edges = edges, c.stage(edges.unionByName(both.select("a", "b", "x", "y").mapInArrow(compare_pairs(least), "a long, b long")))
         c.release(now, last)
     now = c.stage(with_components(members, edges))
-    # Buckets of the same classes are one.
+    # Groups of the same classes are one.
     mixed = now.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("size"), F.sum("n").alias("total"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
     mixed = mixed.filter("low <> high").groupBy("who", "size", "total").agg(F.min("key").alias("key"))
     tiles = F.ceil(F.greatest(F.col("size") / TILE, F.col("total") / TILE_HASHES)).cast("int").alias("tiles")
-    left = now.drop("size").join(mixed.select("key", tiles), "key")
+    left = now.join(mixed.select("key", tiles), "key")
     left = left.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     left = left.select("key", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "node", "own", "fp").join(sets, "node")
     rest = left.groupBy("key", "i", "j").applyInArrow(compare_tiles(least), "a long, b long")

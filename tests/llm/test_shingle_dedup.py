@@ -57,3 +57,38 @@ def test_tiles_of_a_bucket_without_stars(spark, monkeypatch):
     monkeypatch.setattr(shingle_dedup, "TILE", 32)
     rows = varied(5)
     assert sorted(r.doc_id for r in shingle_dedup.keep_one(spark.createDataFrame(rows, DOCS)).collect()) == brute_kept(rows)
+
+
+def test_tables_of_fingerprints_propose_pairs_at_the_limit():
+    """Pairs at 0.8 share a bucket of a table of SimHash bits, and are near in it, in corpora of any size."""
+    rng = np.random.default_rng(6)
+    for common, more, other in ((4, 0, 1), (8, 1, 1), (12, 1, 2), (80, 10, 10), (400, 0, 100)):
+        hashes = rng.integers(0, 2**64, (400, common + more + other), np.uint64)
+        parts = [np.sort(hashes[:, : common + more], axis=1), np.sort(np.c_[hashes[:, :common], hashes[:, common + more :]], axis=1)]
+        x, y = (shingle_dedup.fingerprints(p.ravel(), np.arange(401) * p.shape[1]) for p in parts)
+        assert (shingle_dedup.apart(x, y) <= shingle_dedup.FAR).all()
+        for classes in (300, 260_000, 15_000_000):
+            bits, tables = shingle_dedup.tables_for(classes)
+            assert classes / 2**bits <= shingle_dedup.BUCKET
+            met = np.zeros(400, bool)
+            for t, chosen in enumerate(shingle_dedup.table_bits(bits, tables)):
+                assert len(set(chosen.tolist())) == bits
+                met |= shingle_dedup.table_keys(x, chosen, t) == shingle_dedup.table_keys(y, chosen, t)
+            # Of sets of four and five shingles a few in a thousand are lost in the largest corpus.
+            assert met.sum() >= (396 if common == 4 else 400)
+
+
+def test_groups_of_a_bucket(monkeypatch):
+    """What reaches each other by near fingerprints of like sizes is one group, whether the middle row finds it or not."""
+    monkeypatch.setattr(shingle_dedup, "SQUARE", 16)
+    rng = np.random.default_rng(7)
+    fp = rng.integers(0, 2**64, (200, shingle_dedup.WORDS), np.uint64)
+    for a, b in ((60, 140), (10, 40)):
+        fp[a:b] = fp[a] ^ (np.uint64(1) << rng.integers(0, 64, (b - a, shingle_dedup.WORDS)).astype(np.uint64))
+    fp[[3, 199]] = fp[[5, 0]]
+    n = np.sort(rng.integers(50, 100, 200))
+    bits = lambda i, j: sum((int(a) ^ int(b)).bit_count() for a, b in zip(fp[i], fp[j], strict=True))
+    pairs = [(i, j) for i in range(200) for j in range(i) if min(n[i], n[j]) >= 0.8 * max(n[i], n[j]) and bits(i, j) <= shingle_dedup.FAR]
+    want = components.merge(np.arange(200), *(np.array(x, int) for x in zip(*pairs, strict=True)))
+    assert shingle_dedup.near_groups(fp, n, 0.8).tolist() == want.tolist()
+    assert sorted(np.unique(want, return_counts=True)[1].tolist())[-3:] == [2, 30, 80]
