@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from kelpie.llm import common as c
 
 LENGTH, PERIOD, COVER = 13, 7, (0, 1, 3)
-FLUSH = 1 << 20
+#: Rows of a map batch routed at once.
+FLUSH = 1 << 19
 
 
 def is_cover(cover: tuple[int, ...], period: int) -> bool:
@@ -103,8 +104,23 @@ def anchors_of(n_buckets: int, length: int, period: int, cover: tuple[int, ...])
     return run
 
 
+def joined_runs(found: pa.Table) -> pa.Table:
+    """Rows FOUND, where starts of one document that are later copies and follow each other go as one row."""
+    did, tag, lo, hi, need = (found.column(i).to_numpy() for i in range(5))
+    done = np.flatnonzero(need == 0)
+    done = done[np.lexsort((hi[done], tag[done], did[done]))]
+    d, t, a, b = did[done], tag[done], lo[done], hi[done]
+    new = c.run_starts(d, t)
+    new[1:] |= a[1:] > b[:-1] + 1
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(done)][: len(first)] - 1
+    rest = np.flatnonzero(need)
+    cols = [(d[first], did[rest]), (t[first], tag[rest]), (a[first], lo[rest]), (b[last], hi[rest]), (np.zeros(len(first), need.dtype), need[rest])]
+    return pa.table(dict(zip(found.column_names, map(np.concatenate, cols), strict=True)))
+
+
 def resolve(period: int):
-    return lambda table: c.settle_anchors(table, firsts, period - 1)
+    return lambda table: joined_runs(c.settle_anchors(table, firsts, period - 1))
 
 
 def windows_of(n_buckets: int, length: int, period: int):
@@ -141,8 +157,8 @@ def cut_out(length: int):
             found = batch.column("starts")
             cut = np.asarray(found.offsets, np.int64)
             cut = cut - cut[0]
-            flat = found.flatten()
-            lo, hi = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            flat = found.flatten().to_numpy(zero_copy_only=False)
+            lo, hi = flat >> 32, flat & 0xFFFFFFFF
             texts = batch.column("text").cast(pa.binary())
             total, removed, kept = [], [], []
             for i in range(batch.num_rows):
@@ -184,8 +200,10 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, cov
     """One row per row of docs: doc_id, n_words, n_removed and kept, the words that stay, joined by one space."""
     c.prepare(docs.sparkSession)
     rows = c.identified(docs)
-    starts = repeated_windows(rows, length, period, cover).groupBy("did", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
-    joined = rows.join(starts, ["did", "tag"], "left").select("doc_id", "text", F.coalesce("starts", F.array().cast("array<struct<lo:int,hi:int>>")).alias("starts"))
+    # First and last start of a run as one number: lists of structures take several times the memory.
+    run = F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.col("hi").cast("long"))
+    starts = repeated_windows(rows, length, period, cover).groupBy("did", "tag").agg(F.collect_list(run).alias("starts"))
+    joined = rows.join(starts, ["did", "tag"], "left").select("doc_id", "text", F.coalesce("starts", F.array().cast("array<long>")).alias("starts"))
     return joined.mapInArrow(cut_out(length), "doc_id long, n_words long, n_removed long, kept string")
 
 

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -61,6 +62,19 @@ def test_suffix_dedup_is_exact(spark, seed, length):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())
 
 
+def test_a_late_copy_is_found_in_runs():
+    """A copy of 500 words in the same map batch is one row, not one for each anchor, and starts go to the last step as numbers."""
+    rng = random.Random(8)
+    text = " ".join(str(rng.random()) for _ in range(500))
+    batch = pa.RecordBatch.from_pydict({"did": [1, 2], "tag": [0, 0], "text": [text, text]})
+    sent = [pa.Table.from_batches([x]) for x in substring_dedup.anchors_of(16, 13, 7, (0, 1, 3))([batch])]
+    found = [r for t in sent for i in range(t.num_rows) for r in substring_dedup.resolve(7)(t.slice(i, 1)).to_pylist()]
+    assert [(r["did"], r["lo"], r["need"]) for r in found] == [(2, 0, 0)]
+    starts = pa.array([[], [found[0]["lo"] << 32 | found[0]["hi"]]], pa.list_(pa.int64()))
+    out = substring_dedup.cut_out(13)([pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, text]), starts], names=["doc_id", "text", "starts"])])
+    assert [r["n_removed"] for x in out for r in x.to_pylist()] == [0, 500]
+
+
 def test_substring_dedup_is_exact(spark):
     rows = corpus(5)
     got = {r.doc_id: r for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, DOCS)).collect()}
