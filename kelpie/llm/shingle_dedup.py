@@ -17,8 +17,16 @@ Candidates
 Links
     A pair at 0.8 is over NEAR or FAR bits apart with probability below 1e-5 (sets of four and five shingles: 1e-4). Candidates of a group are compared
     exactly, whole set with whole set, and only that makes a link. In ``STARS`` rounds each class is compared with one other of its groups, so a
-    large group of near copies is joined by a comparison for each of them. Then all pairs of groups that still hold classes of more than one
-    component are compared, in tiles; pairs are never written out.
+    large group of near copies is joined by a comparison for each of them.
+
+    Classes of groups that still hold more than one component meet by the hashes that they share. Sets of a and b link from a number
+    of common hashes on that sizes give; with hashes in one order (those of a single component, which join nothing, then rare ones first) the
+    first common hash is among the first ones of both, as many as leave room for the others. So classes meet only at such hashes, and one
+    with too many of its own meets none. A group of classes that meet and make up to ``FEW`` tiles is compared in all pairs. A larger one is split again by what tells its
+    classes from its center, the hashes that over half of ``SAMPLE`` of them hold. Let D be the hashes that are in a set or the center and not in both. Two sets link where
+    |D| - r n of the one and of the other add up to at most twice what their D share, r = (1 - least) / (1 + least). Pairs at which they add up to none or less are joined
+    by the class of the least |D| - r n, with which all are compared; others share a hash of their D, which a minority holds, and meet there as above.
+    This goes on while it lessens the rows that tiles take; where it does not, they are compared in tiles as they are. Nothing is capped, and pairs are never written out.
 
 Defined cases
     Texts without words are one class. Null doc_id: the largest id; documents are told apart by doc_id and text. Of repeated rows, one is kept.
@@ -31,7 +39,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpie.llm import common as c
@@ -45,6 +53,8 @@ WORDS, FAR, BUCKET, DIFFER, LOST, AT_ONCE = 4, 72, 512, 0.1875, 1e-5, 24
 FLUSH, SQUARE = 1 << 18, 512
 #: Classes and hashes of a bucket compared at once, and shared shingles of a tile multiplied at once.
 TILE, TILE_HASHES, WIDE = 256, 1 << 18, 8192
+#: Tiles of a group that is compared without being split, and classes of a larger one that its center is taken from.
+FEW, SAMPLE = 4, 33
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -256,6 +266,169 @@ def compare_tiles(least: float):
     return run
 
 
+TOKENS = ["u8", "i8", "i8", "i8", "i4", "i4"]
+
+
+def deal_hashes(n_buckets: int):
+    """Rows (key, node, own, need, body) to the buckets of their hashes within a key: hash, key, node, own, number of hashes and how many of them
+    come before the last ``need`` - 1."""
+
+    def run(batches):
+        for batch in batches:
+            key, node, own, need = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("key", "node", "own", "need"))
+            body = [np.frombuffer(x, np.uint64) for x in batch.column("body").to_pylist()]
+            n = np.array([len(x) for x in body], np.int32)
+            piece = np.cumsum(n, dtype=np.int64) // FLUSH
+            for rows in np.split(np.arange(len(n)), np.flatnonzero(np.diff(piece)) + 1):
+                at = np.repeat(rows, n[rows])
+                token = c.mix(np.concatenate([np.zeros(0, np.uint64), *(body[i] for i in rows)]) + c.mix(key.view(np.uint64))[at])
+                yield from c.route((token % np.uint64(n_buckets)).astype(np.int64), [token, key[at], node[at], own[at], n[at], (n - need + 1).astype(np.int32)[at]])
+
+    return run
+
+
+def routed(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.Table:
+    return pa.Table.from_batches(c.route(bucket.astype(np.int64), columns), pa.schema([("bucket", pa.int32()), ("payload", pa.binary())]))
+
+
+def shared_hashes(n_buckets: int):
+    """Of a bucket of dealt hashes, those that classes of unequal components hold, with the number of holders, to the buckets of their classes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cols = c.unpack(c.blobs(table), TOKENS)
+        order = np.lexsort((cols[3], cols[0]))
+        cols = [x[order] for x in cols]
+        start = np.flatnonzero(c.run_starts(cols[0]))
+        end = np.r_[start[1:], len(order)][: len(start)]
+        keep = np.repeat(cols[3][start] != cols[3][end - 1], end - start)
+        held = np.repeat(end - start, end - start).astype(np.uint32)
+        cols, held = [x[keep] for x in cols], held[keep]
+        return routed(c.mix(cols[2].view(np.uint64) ^ c.mix(cols[1].view(np.uint64))) % np.uint64(n_buckets), [held, *cols])
+
+    return run
+
+
+def first_hashes(n_buckets: int):
+    """Of a bucket of classes, the hashes at which they meet others, to the buckets of these hashes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        held, token, key, node, own, n, last = c.unpack(c.blobs(table), ["u4", *TOKENS])
+        order = np.lexsort((token, held, node, key))
+        token, key, node, own, n, last = (x[order] for x in (token, key, node, own, n, last))
+        start = np.flatnonzero(c.run_starts(key, node))
+        size = np.diff(np.r_[start, len(order)])
+        # Hashes that are not here, as no other component has them, come before the others.
+        place = np.arange(len(order)) - np.repeat(start, size) + n - np.repeat(size, size)
+        keep = place < last
+        return routed(token[keep] % np.uint64(n_buckets), [token[keep], node[keep], own[keep]])
+
+    return run
+
+
+def meetings(table: pa.Table) -> pa.Table:
+    """Of a bucket of hashes, the groups (key, node) of classes of unequal components that meet at one, each group once."""
+    token, node, own = c.unpack(c.blobs(table), ["u8", "i8", "i8"])
+    order = np.lexsort((own, token))
+    token, node, own = token[order], node[order], own[order]
+    start = np.flatnonzero(c.run_starts(token))
+    size = np.diff(np.r_[start, len(order)])
+    sums = np.add.reduceat(c.mix(node.view(np.uint64)), start) if len(start) else np.zeros(0, np.uint64)
+    name = c.mix(sums + size.astype(np.uint64))
+    once = np.zeros(len(start), bool)
+    once[np.unique(name, return_index=True)[1]] = True
+    keep = np.repeat(once & (own[start] != own[start + size - 1]), size)
+    return pa.table({"key": pa.array(np.repeat(name, size)[keep].view(np.int64)), "node": pa.array(node[keep])})
+
+
+def meet(rows: DataFrame) -> DataFrame:
+    """(key, node): groups that hold each two classes of a key of rows (key, node, own, need, body) that are of unequal components and share as many hashes as both need."""
+    # Each bucket sends a blob to each bucket of the next exchange, so there is one for a partition, not several.
+    nb = c.buckets(rows.sparkSession, 1)
+    shared = rows.mapInArrow(deal_hashes(nb), c.ROUTED).groupBy("bucket").applyInArrow(shared_hashes(nb), c.ROUTED)
+    return c.stage(shared.groupBy("bucket").applyInArrow(first_hashes(nb), c.ROUTED).groupBy("bucket").applyInArrow(meetings, "key long, node long").dropDuplicates(["key", "node"]))
+
+
+def center(table: pa.Table) -> pa.Table:
+    """The hashes that over half of the given sets of a key hold."""
+    values, count = np.unique(np.concatenate([np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()]), return_counts=True)
+    return pa.table({"key": table.column("key")[:1], "center": pa.array([values[2 * count > table.num_rows].tobytes()], pa.binary())})
+
+
+def from_center(least: float):
+    """Rows (key, node, n, set, center): what tells the set from the center, and ``excess``, its size less the share of n that a link allows."""
+
+    def run(batches):
+        r = (1 - least) / (1 + least)
+        for batch in batches:
+            body = [np.setxor1d(np.frombuffer(s, np.uint64), np.frombuffer(m, np.uint64), assume_unique=True) for s, m in zip(batch.column("set").to_pylist(), batch.column("center").to_pylist(), strict=True)]
+            excess = np.array([len(x) for x in body], float) - r * batch.column("n").to_numpy(zero_copy_only=False)
+            cols = [batch.column("key"), batch.column("node"), pa.array(excess), pa.array([x.tobytes() for x in body], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "node", "excess", "body"])
+
+    return run
+
+
+def compared(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The links among pairs (a, b)."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(compare_pairs(least), "a long, b long")
+
+
+def split(groups: DataFrame, nodes: DataFrame, sets: DataFrame, edges: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(the groups that classes of unequal components meet in by what tells them from their group's center, edges with those to the class nearest to it)."""
+    by_hash = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
+    sample = groups.withColumn("place", F.row_number().over(by_hash)).filter(F.col("place") <= SAMPLE).select("key", "node")
+    centers = sample.join(sets, "node").groupBy("key").applyInArrow(center, "key long, center binary")
+    told = groups.join(nodes.select("node", "n"), "node").join(sets, "node").join(centers, "key")
+    told = c.stage(told.select("key", "node", "n", "set", "center").mapInArrow(from_center(least), "key long, node long, excess double, body binary"))
+    hubs = c.stage(told.groupBy("key").agg(F.min(F.struct("excess", "node")).alias("hub")))
+    pairs = told.join(hubs, "key").filter(F.col("node") != F.col("hub.node")).select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
+    edges = c.stage(edges.unionByName(compared(pairs, sets, least)))
+    need = F.greatest(F.lit(1), F.ceil((F.col("excess") + F.col("hub.excess")) / 2 - F.lit(1e-6))).cast("int").alias("need")
+    rows = with_components(told.join(hubs, "key").select("key", "node", need, "body"), edges)
+    found = meet(rows.select("key", "node", "own", "need", "body"))
+    c.release(told, hubs)
+    return found, edges
+
+
+def tiled(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, node, own, fp, tiles): the groups that hold more than one component, with the number of their tiles."""
+    rows = groups.join(nodes, "node")
+    sizes = rows.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("size"), F.sum("n").alias("total"))
+    tiles = F.ceil(F.greatest(F.col("size") / TILE, F.col("total") / TILE_HASHES)).cast("int").alias("tiles")
+    return c.stage(rows.join(sizes.filter("low <> high").select("key", tiles), "key").select("key", "node", "own", "fp", "tiles"))
+
+
+def in_tiles(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """A forest of the links of groups, of which all pairs of tiles are compared."""
+    left = rows.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    left = left.select("key", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "node", "own", "fp").join(sets, "node")
+    return left.groupBy("key", "i", "j").applyInArrow(compare_tiles(least), "a long, b long")
+
+
+def settle(now: DataFrame, sets: DataFrame, edges: DataFrame, least: float) -> DataFrame:
+    """edges with what else links the classes of groups now (key, node, fp, n, own) that are of unequal components."""
+    mixed = now.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.min("n").alias("low")).filter("lo <> hi").select("key", "low")
+    left = c.stage(now.join(mixed, "key").groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("own").alias("own"), F.min("low").alias("low")))
+    need = F.ceil((F.col("n") + F.greatest(F.col("low"), F.col("n") * least)) * (least / (1 + least)) - F.lit(1e-6)).cast("int").alias("need")
+    groups = meet(left.join(sets, "node").select(F.lit(0).cast("long").alias("key"), "node", "own", need, F.col("set").alias("body")))
+    bare = left.drop("low", "own")
+    before, large = None, None
+    while True:
+        nodes = with_components(bare, edges)
+        rows = tiled(groups, nodes)
+        work = rows.filter(F.col("tiles") > FEW).agg(F.sum(F.col("tiles").cast("long"))).first()[0] or 0
+        if before is not None and work >= before:
+            # Splitting has not lessened what tiles take: the groups before are compared as they were.
+            return c.stage(edges.unionByName(in_tiles(large, sets, least)))
+        edges = c.stage(edges.unionByName(in_tiles(rows.filter(F.col("tiles") <= FEW), sets, least)))
+        if not work:
+            return edges
+        before, large = work, c.stage(rows.filter(F.col("tiles") > FEW))
+        c.release(groups, rows)
+        groups, edges = split(large.select("key", "node"), bare, sets, edges, least)
+
+
 def with_components(members: DataFrame, edges: DataFrame) -> DataFrame:
     """members with ``own``, the component that their node has by now."""
     return members.join(components(edges), "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component")
@@ -294,19 +467,10 @@ def shingle_classes(docs: DataFrame, least: float = LEAST) -> tuple[DataFrame, D
         hubs = now.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(star), "node").alias("h"), "node", "fp", "n", "own")).alias("hub"))
         pairs = now.join(hubs, "key").filter(F.col("own") != F.col("hub.own")).filter(near)
         pairs = pairs.groupBy(F.col("node").alias("a")).agg(F.min(F.struct("hub.h", "hub.node")).alias("hub")).select("a", F.col("hub.node").alias("b"))
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-        last, edges = edges, c.stage(edges.unionByName(both.select("a", "b", "x", "y").mapInArrow(compare_pairs(least), "a long, b long")))
+        last, edges = edges, c.stage(edges.unionByName(compared(pairs, sets, least)))
         c.release(now, last)
-    now = c.stage(with_components(members, edges))
-    # Groups of the same classes are one.
-    mixed = now.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("size"), F.sum("n").alias("total"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
-    mixed = mixed.filter("low <> high").groupBy("who", "size", "total").agg(F.min("key").alias("key"))
-    tiles = F.ceil(F.greatest(F.col("size") / TILE, F.col("total") / TILE_HASHES)).cast("int").alias("tiles")
-    left = now.join(mixed.select("key", tiles), "key")
-    left = left.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    left = left.select("key", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "node", "own", "fp").join(sets, "node")
-    rest = left.groupBy("key", "i", "j").applyInArrow(compare_tiles(least), "a long, b long")
-    reached = c.stage(with_components(classes.select("node", "own_first"), c.stage(edges.unionByName(rest))))
+    edges = settle(c.stage(with_components(members, edges)), sets, edges, least)
+    reached = c.stage(with_components(classes.select("node", "own_first"), edges))
     named = reached.join(reached.groupBy("own").agg(F.min("own_first").alias("first")), "own").select("node", "first")
     return rows.select("did", "tag", "node"), named
 

@@ -92,3 +92,55 @@ def test_groups_of_a_bucket(monkeypatch):
     want = components.merge(np.arange(200), *(np.array(x, int) for x in zip(*pairs, strict=True)))
     assert shingle_dedup.near_groups(fp, n, 0.8).tolist() == want.tolist()
     assert sorted(np.unique(want, return_counts=True)[1].tolist())[-3:] == [2, 30, 80]
+
+
+def copies_at_all_distances(seed, n):
+    """Copies of one text with one to twelve changed words: the nearer half link to each other, the others to nothing or to few."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, rows = [word() for _ in range(150)], []
+    for i in range(n):
+        near = list(base)
+        for at in rng.sample(range(150), rng.randint(1, 12)):
+            near[at] = word()
+        rows.append((i, " ".join(near)))
+    return rows
+
+
+def test_rows_compared_grow_as_a_group_of_near_copies(spark, monkeypatch):
+    """Twice as many near copies of one text are compared with not much more than twice as many rows in tiles, and all links are found."""
+    monkeypatch.setattr(shingle_dedup, "TILE", 32)
+    of_tiles, made = shingle_dedup.compare_tiles, []
+
+    def counted(least):
+        run, rows = of_tiles(least), made[-1]
+
+        def count(table):
+            rows.add(table.num_rows)
+            return run(table)
+
+        return count
+
+    monkeypatch.setattr(shingle_dedup, "compare_tiles", counted)
+    for n in (400, 800):
+        made.append(spark.sparkContext.accumulator(0))
+        rows = copies_at_all_distances(8, n)
+        assert sorted(r.doc_id for r in shingle_dedup.keep_one(spark.createDataFrame(rows, DOCS)).collect()) == brute_kept(rows)
+    few, many = (x.value for x in made)
+    assert few < many < 3 * few or many < 800
+
+
+def test_classes_that_link_meet_at_their_first_shared_hashes(spark):
+    """Sets (hashes of a common stock) that share as many as both need are in a group together; sets of one component meet nobody in it."""
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 60, 40)).astype(np.uint64) for _ in range(80)]
+    own, need = rng.integers(0, 70, 80).tolist(), [max(1, int(0.7 * len(s))) for s in sets]
+    rows = [(7, i, own[i], need[i], bytearray(s.tobytes())) for i, s in enumerate(sets)]
+    groups = shingle_dedup.meet(spark.createDataFrame(rows, "key long, node long, own long, need int, body binary")).collect()
+    met = {}
+    for r in groups:
+        met.setdefault(r.key, set()).add(r.node)
+    together = {(i, j) for g in met.values() for i in g for j in g}
+    pairs = [(i, j) for i in range(80) for j in range(i) if own[i] != own[j] and len(np.intersect1d(sets[i], sets[j])) >= max(need[i], need[j])]
+    assert pairs and all(p in together for p in pairs)
+    assert all(len({own[i] for i in g}) > 1 for g in met.values())
