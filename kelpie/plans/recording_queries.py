@@ -158,8 +158,8 @@ def internal_rhymes(spark, sf_dir):
 @query(f"""WITH {SIGNAL}, n AS (SELECT user_id, count(*) AS n FROM sig WHERE user_id % 7 <> 0 GROUP BY user_id)
 SELECT 'user ' || user_id AS path, number::INT AS number, kind, CASE kind WHEN 'fmt' THEN 16 ELSE n * 4 END::BIGINT AS size FROM n, (VALUES (0, 'fmt'), (1, 'data')) c(number, kind)""")
 def container_chunks(spark, sf_dir):
-    """What containers hold."""
-    return media.wave_chunks(_wave_files(spark, sf_dir))
+    """What containers hold, here of 16 bits for every series."""
+    return media.wave_chunks(_wave_files(spark, sf_dir, "saturated"))
 
 
 @query("""WITH p AS (SELECT page_id, url, split_part(url, '/', 3) AS host, row_number() OVER (PARTITION BY split_part(url, '/', 3) ORDER BY page_id) - 1 AS k, page_id % 4 AS failures FROM pages)
