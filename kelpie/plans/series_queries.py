@@ -105,8 +105,11 @@ def dr14_blocks(spark, sf_dir):
 
 @query("""SELECT user_id, ts::DATE AS day, round(20 * log10(max(abs(value)) / sqrt(avg(value * value))), 6) AS crest_db, count(*)::BIGINT AS n FROM events GROUP BY ALL""")
 def crest_timeline(spark, sf_dir):
+    """Peak over level of each day; a silent day has none (NaN, as SQL's 0 / 0)."""
     e = table(spark, sf_dir, "events")
-    return e.groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.round(20 * F.log10(F.max(F.abs("value")) / F.sqrt(F.avg(F.col("value") * F.col("value")))), 6).alias("crest_db"), F.count("*").alias("n"))
+    g = e.groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.max(F.abs("value")).alias("peak"), F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"), F.count("*").alias("n"))
+    crest = F.when(F.col("rms") == 0, F.lit(float("nan"))).otherwise(F.round(20 * F.log10(F.try_divide("peak", "rms")), 6))
+    return g.select("user_id", "day", crest.alias("crest_db"), "n")
 
 
 @query(f"""WITH {SIGNAL}, m AS (SELECT *, max(value) OVER (PARTITION BY event_type) * 0.7 AS thr, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS j FROM sig),

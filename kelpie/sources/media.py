@@ -143,12 +143,12 @@ def pcm_hashes(files: DataFrame) -> DataFrame:
 
 
 def channel_levels(blocks: DataFrame) -> DataFrame:
-    """(path, channel, n, peak, rms_db, crest_db): partial sums of blocks, so a long file is never gathered."""
+    """(path, channel, n, peak, rms_db, crest_db): partial sums of blocks, so a long file is never gathered. Silence has no crest."""
     energy = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     peak = F.aggregate("samples", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x).cast("double")))
     g = blocks.select("path", "channel", F.size("samples").alias("n"), energy.alias("e"), peak.alias("p")).groupBy("path", "channel").agg(F.sum("n").alias("n"), F.max("p").alias("peak"), F.sum("e").alias("e"))
     rms = F.sqrt(F.col("e") / F.col("n"))
-    return g.select("path", "channel", "n", "peak", (20 * F.log10(F.greatest(rms, F.lit(1e-20)))).alias("rms_db"), (20 * F.log10(F.col("peak") / rms)).alias("crest_db"))
+    return g.select("path", "channel", "n", "peak", (20 * F.log10(F.greatest(rms, F.lit(1e-20)))).alias("rms_db"), F.when(rms > 0, 20 * F.log10(F.try_divide("peak", rms))).alias("crest_db"))
 
 
 def image_size(raw: bytes) -> tuple[int, int] | None:
