@@ -32,11 +32,11 @@ def first_found(base: DataFrame, sidecars: DataFrame, key: str, order: Sequence[
 
 
 def cached_responses(wanted: DataFrame, cache: DataFrame, offline: bool = True) -> DataFrame:
-    """wanted (url) with body and status from a cache keyed by SHA-1: hit, absent (a kept 404), or what a fetch would have to fill."""
+    """wanted (url and more) with body and status from a cache keyed by SHA-1: hit, absent (a kept 404), or what a fetch would have to fill."""
     keyed = wanted.withColumn("key", F.sha1("url"))
     out = keyed.join(cache.select("key", "code", "body"), "key", "left")
     status = F.when(F.col("code") == 404, "absent").when(F.col("code").isNotNull(), "hit").otherwise("offline and not cached" if offline else "fetch")
-    return out.select("url", status.alias("status"), "body")
+    return out.select(*wanted.columns, status.alias("status"), "body")
 
 
 def apply_upsert(spark: SparkSession, table: str, new: DataFrame, key: str) -> DataFrame:

@@ -50,3 +50,7 @@ def test_silent_day(same):
 def test_silence_has_no_crest(spark):
     blocks = spark.createDataFrame([("a", 0, [0.0, 0.0]), ("b", 0, [0.5, -0.5])], "path string, channel int, samples array<float>")
     assert {r.path: r.crest_db if r.crest_db is None else math.isclose(r.crest_db, 0.0) for r in media.channel_levels(blocks).collect()} == {"a": None, "b": True}
+
+
+def test_pages_of_one_url(same):
+    same("cached_lookup", pages="SELECT * REPLACE ('http://a/' || page_id // 7 AS url) FROM pages")
