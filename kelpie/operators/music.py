@@ -155,31 +155,65 @@ def segment_notes(df: DataFrame, key: str, order: str, value: str, split: float
 
 
 def cluster_cannot_link(x: np.ndarray, flags: np.ndarray, stop: float = 0.8) -> np.ndarray:
-    """Average-linkage labels on cosine distance; groups of different flags never merge; labels in order of first member."""
-    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    d = 1 - unit @ unit.T
-    d[flags[:, None] != flags[None, :]] = np.inf
-    np.fill_diagonal(d, np.inf)
-    size, label, every = np.ones(len(x)), np.arange(len(x)), np.arange(len(x))
-    # The nearest of each row is kept, so a merge costs a row and not the whole matrix.
-    near = d.argmin(1) if len(x) else every
-    least = d[every, near]
-    while len(x) > 1:
-        i = int(np.argmin(least))
-        j = int(near[i])
-        if not d[i, j] < stop:
-            break
-        i, j = min(i, j), max(i, j)
-        with np.errstate(invalid="ignore"):
-            merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = merged, merged
-        d[i, i], d[j], d[:, j] = np.inf, np.inf, np.inf
-        closer = (d[:, i] < least) | ((d[:, i] == least) & (i < near))
-        again = np.flatnonzero((near == i) | (near == j) | (every == i) | (every == j))
-        least[closer], near[closer] = d[closer, i], i
-        near[again] = d[again].argmin(1)
-        least[again] = d[again, near[again]]
-        size[i] += size[j]
-        label[label == j] = i
+    """Average-linkage labels on cosine distance; groups of different flags never merge; labels in order of first member.
+
+    The mean distance of two groups is one less the product of their mean unit vectors, so a group is one vector and no matrix of distances is kept.
+    Groups that are each other's nearest merge in one round: no merger brings a group nearer to one of them than the other is. A group whose nearest
+    is ``stop`` or more away is finished.
+    """
+    label = np.arange(len(x))
+    for flag in np.unique(flags):
+        rows = np.flatnonzero(flags == flag)
+        label[rows] = rows[_average_linkage(x[rows], stop)]
     _, first, names = np.unique(label, return_index=True, return_inverse=True)
     return np.argsort(np.argsort(first))[names]
+
+
+def _nearest_groups(mean: np.ndarray, ask: np.ndarray, live: np.ndarray, cells: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest of ``live``, distance) of each group of ``ask``, a bounded number of products at a time; of like ones the first."""
+    near, least = np.zeros(len(ask), np.int64), np.full(len(ask), np.inf)
+    step, among = max(1, cells // max(len(live), 1)), mean[live].T
+    for lo in range(0, len(ask), step):
+        d = 1 - mean[ask[lo : lo + step]] @ among
+        d[ask[lo : lo + step][:, None] == live[None, :]] = np.inf
+        at = d.argmin(axis=1)
+        near[lo : lo + step], least[lo : lo + step] = live[at], d[np.arange(len(at)), at]
+    return near, least
+
+
+def _average_linkage(x: np.ndarray, stop: float) -> np.ndarray:
+    """For each row the first row of its group."""
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    # Equal rows are at no distance and merge first; rows without a direction are at distance one from all.
+    mean, first, label, size = np.unique(unit, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    zero = ~mean.any(axis=1)
+    if zero.any() and stop <= 1:
+        lone = zero[label.ravel()]
+        out = np.arange(len(x))
+        out[~lone] = np.flatnonzero(~lone)[_average_linkage(x[~lone], stop)]
+        return out
+    order = np.argsort(first)
+    mean, first, size, label = mean[order], first[order], size[order].astype(float), np.argsort(order)[label.ravel()]
+    parent, live = np.arange(len(mean)), np.arange(len(mean))
+    near, least = _nearest_groups(mean, live, live) if len(live) > 1 else (live.copy(), np.full(len(live), np.inf))
+    while len(live) > 1:
+        live = live[least[live] < stop]
+        if not len(live):
+            break
+        i = live[(near[near[live]] == live) & (live < near[live])]
+        if not len(i):
+            i = live[[np.argmin(least[live])]]  # like distances in a ring: the nearest pair
+        a, b = np.minimum(i, near[i]), np.maximum(i, near[i])
+        mean[a] = (size[a, None] * mean[a] + size[b, None] * mean[b]) / (size[a] + size[b])[:, None]
+        size[a] += size[b]
+        parent[b] = a
+        gone, changed = np.zeros(len(mean), bool), np.zeros(len(mean), bool)
+        gone[b], changed[a], changed[b] = True, True, True
+        live = live[~gone[live]]
+        if len(live) < 2:
+            break
+        again = live[changed[live] | changed[near[live]]]
+        near[again], least[again] = _nearest_groups(mean, again, live)
+    while (parent[parent] != parent).any():
+        parent = parent[parent]
+    return first[parent[label]]

@@ -211,16 +211,21 @@ def syncopation(spark, sf_dir):
 
 @query()
 def cluster_cannot_link(spark, sf_dir):
-    """Average-linkage groups of all vectors of each label: those of odd and even ids never merge. A label is one task."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    """Average-linkage groups of all vectors of each label: those of odd and even ids never merge, so a label is two tasks, each of memory in proportion to its vectors."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.pmod("vec_id", F.lit(2)).alias("flag"), F.col("embedding").cast("array<double>").alias("v"))
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("vec_id")
         ids = t.column("vec_id").to_numpy()
-        labels = music.cluster_cannot_link(np.array(t.column("v").to_pylist()), ids % 2)
-        return pa.table({"label": t.column("label"), "vec_id": ids, "cluster": pa.array(labels, pa.int64())})
-
-    return e.groupBy("label").applyInArrow(run, "label int, vec_id long, cluster long")
+        x = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        labels = music.cluster_cannot_link(x, np.zeros(len(ids), int))
+        _, first = np.unique(labels, return_index=True)
+        return pa.table({"label": t.column("label"), "vec_id": ids, "first": ids[first][labels]})
+
+    groups = e.groupBy("label", "flag").applyInArrow(run, "label int, vec_id long, first long")
+    # Groups of a label are numbered by their first members.
+    numbers = groups.select("label", "first").distinct().withColumn("cluster", (F.row_number().over(Window.partitionBy("label").orderBy("first")) - 1).cast("long"))
+    return groups.join(numbers, ["label", "first"]).select("label", "vec_id", "cluster")
 
 
 @query("""SELECT event_id, user_id, event_type FROM events""")
