@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kelpie.functions import exprs, genres, naming
 from kelpie.operators import linkage, text
 from kelpie.plans.registry import query, table
-from kelpie.sources.staging import spread
+from kelpie.sources.staging import spread, staged
 
 #: What the tables' plain names are dressed with, by key.
 TITLES = ("", " (Official Audio)", " - Live Version", " (feat. Zoë & Åsa)", " [Remastered 2011]", " - Radio Edit", " (Live at Home)", " & Friends", " (Radio Edit) [Deluxe]", " — Slowed + Reverb", " (Acoustic Demo)", " Ça Vá!")
@@ -162,9 +162,13 @@ k AS (SELECT user_id, name, sum(part) AS score, count(DISTINCT source) AS n_sour
 SELECT user_id, name, round(score, 5) AS score, n_sources::BIGINT AS n_sources, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, name) AS place FROM k) WHERE place <= 20""")
 def tag_vote(spark, sf_dir):
     """Descriptive tags by votes, each source scaled to its own peak; genres and listeners' notes do not stand."""
-    v = labelled(spark, sf_dir).withColumn("name", genres.normal_label(F.col("label"))).filter("name <> ''").groupBy("user_id", F.pmod("event_id", F.lit(3)).cast("int").alias("source"), "name").agg(F.count("*").alias("votes"))
+    # Votes are counted as they are spelled; each spelling is looked at once. Spellings are written first: a filter on their names would be moved to the events.
+    counted = labelled(spark, sf_dir).groupBy("user_id", F.pmod("event_id", F.lit(3)).cast("int").alias("source"), "label").agg(F.count("*").alias("votes"))
+    spelled = staged(staged(labelled(spark, sf_dir).select("label").distinct()).withColumn("name", genres.normal_label(F.col("label"))))
+    spelled = staged(spelled.filter("name <> ''").withColumn("stands", genres.is_descriptive(F.col("name"))))
+    v = counted.join(spelled, "label").groupBy("user_id", "source", "name", "stands").agg(F.sum("votes").alias("votes"))
     part = F.least(F.col("votes") / F.max("votes").over(Window.partitionBy("user_id", "source")), F.lit(1.0))
-    k = v.withColumn("part", part).filter(genres.is_descriptive(F.col("name"))).groupBy("user_id", "name").agg(F.sum("part").alias("score"), F.count_distinct("source").alias("n_sources"))
+    k = v.withColumn("part", part).filter("stands").groupBy("user_id", "name").agg(F.sum("part").alias("score"), F.count_distinct("source").alias("n_sources"))
     place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc(F.round("score", 9)), "name"))
     return k.withColumn("place", place.cast("long")).filter("place <= 20").select("user_id", "name", F.round("score", 5).alias("score"), "n_sources", "place")
 
