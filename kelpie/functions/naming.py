@@ -129,8 +129,9 @@ def version_markers(title: Column) -> Column:
         rest = low
         for p in longer[m]:
             rest = F.regexp_replace(rest, pattern(p), " ")
-        found.append(F.when(rest.rlike(pattern(m)), F.lit(name)))
-    return F.array_distinct(F.array_compact(F.array(*found)))
+        # A text that does not hold the phrase is not searched by patterns.
+        found.append(F.when(F.contains(low, F.lit(m)), F.when(rest.rlike(pattern(m)), F.lit(name))))
+    return F.when(low.rlike(MARKED), F.array_distinct(F.array_compact(F.array(*found)))).otherwise(F.array().cast("array<string>"))
 
 
 def base_title(title: Column) -> Column:
@@ -139,7 +140,8 @@ def base_title(title: Column) -> Column:
     kept = lambda x, part, sub: F.regexp_replace(x, part, sub)
     inside = MARKED.removeprefix("(?i)")
     brackets = rf"(?i)\s*[\(\[][^)\]]*?{inside}[^)\]]*[\)\]]"
-    return F.trim(kept(kept(text, brackets, ""), rf"(?i)\s+-\s+[^-]*?{inside}[^-]*$", ""))
+    marked = kept(kept(text, brackets, ""), rf"(?i)\s+-\s+[^-]*?{inside}[^-]*$", "")
+    return F.trim(F.when(text.rlike(MARKED), marked).otherwise(text))
 
 
 def work_key(artist: Column, title: Column) -> Column:
