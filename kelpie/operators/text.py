@@ -80,11 +80,40 @@ def rime(word: Column) -> Column:
     return F.regexp_extract(word, r"([aeiouyà-öø-ÿ]+[^aeiouyà-öø-ÿ]*)$", 1)
 
 
+def last_word(line: Column) -> Column:
+    """The last run of letters, in lower case: read from the end, so that no other word of the line is tried."""
+    return F.reverse(F.regexp_extract(F.reverse(F.lower(line)), r"^[^a-zà-öø-ÿß']*([a-zà-öø-ÿß']+)", 1))
+
+
+def rhyme_schemes(df: DataFrame, id_: str, text: str) -> DataFrame:
+    """(id, n_lines, scheme): each line by the number of the first line that it rhymes with, - without a rime. A batch of texts is numbered in one sort."""
+    ends = df.select(id_, F.transform(lines(F.col(text)), lambda x: rime(last_word(x))).alias("r"))
+
+    def run(batches):
+        for batch in batches:
+            r = batch.column("r")
+            at = r.offsets.to_numpy()
+            n = np.diff(at)
+            own = np.repeat(np.arange(len(n)), n)
+            rimes = r.flatten().dictionary_encode()
+            names = rimes.indices.to_numpy(zero_copy_only=False)
+            _, first, group = np.unique(own * (len(rimes.dictionary) + 1) + names, return_index=True, return_inverse=True)
+            line = (first - (at[:-1] - at[0])[own[first]] + 1)[group].astype(str)
+            line[np.array([x == "" for x in rimes.dictionary.to_pylist()], bool)[names] if len(names) else []] = "-"
+            starts = (at - at[0]).tolist()
+            scheme = [" ".join(line[a:b]) if known else None for a, b, known in zip(starts, starts[1:], r.is_valid().to_pylist(), strict=False)]
+            size = [lines_ if known else None for lines_, known in zip(n.tolist(), r.is_valid().to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int32()), pa.array(scheme, pa.string())], names=[id_, "n_lines", "scheme"])
+
+    return ends.mapInArrow(run, f"{id_} {ends.schema[id_].dataType.simpleString()}, n_lines int, scheme string")
+
+
 def rhyme_pairs(df: DataFrame, id_: str, text: str, reach: int = 4) -> DataFrame:
     """(id, perfect, slant): pairs of line ends within ``reach`` lines; each text is compared with itself only, by shifts of its own array."""
-    ends = F.transform(lines(F.col(text)), lambda x: F.regexp_extract(F.lower(x), r"([a-zà-öø-ÿß']+)[^a-zà-öø-ÿß']*$", 1))
-    df = df.select(id_, ends.alias("_e"))
+    df = df.select(id_, F.transform(lines(F.col(text)), last_word).alias("_e"))
     df = df.withColumn("_r", F.transform("_e", rime))
+    # Vowels are a column of their own: worked out once for a line and not for each pair it stands in.
+    df = df.withColumn("_v", F.transform("_r", lambda x: F.regexp_extract(x, "^([aeiouy]+)", 1)))
     perfect, slant = F.lit(0), F.lit(0)
     for k in range(1, reach + 1):
         at = F.when(F.size("_e") > k, F.sequence(F.lit(0), F.size("_e") - 1 - k)).otherwise(F.array().cast("array<int>"))
@@ -100,7 +129,7 @@ def _perfect(k: int):
 
 def _slant(k: int):
     """Other rimes with the same vowels."""
-    vowels = lambda i: F.regexp_extract(F.get(F.col("_r"), i), "^([aeiouy]+)", 1)
+    vowels = lambda i: F.get(F.col("_v"), i)
     return lambda i: (F.get(F.col("_r"), i) != F.get(F.col("_r"), i + k)) & (vowels(i) != "") & (vowels(i) == vowels(i + k))
 
 

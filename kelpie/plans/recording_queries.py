@@ -12,6 +12,7 @@ from kelpie.plans.io_queries import _wave_files
 from kelpie.plans.registry import query, table
 from kelpie.plans.series_queries import _WELCH, SIGNAL, samples
 from kelpie.sources import media
+from kelpie.sources.staging import spread
 
 _HIGH, _LOW = signal.second_order("high pass", 200.0, math.sqrt(0.5), 8000.0), signal.second_order("low pass", 1500.0, math.sqrt(0.5), 8000.0)
 
@@ -140,9 +141,7 @@ def cohorts_by_containment(spark, sf_dir):
 SELECT doc_id, len(r)::INT AS n_lines, array_to_string(list_transform(r, lambda x, i: CASE WHEN x = '' THEN '-' ELSE list_position(r, x)::VARCHAR END), ' ') AS scheme FROM l""")
 def rhyme_scheme(spark, sf_dir):
     """Each line by the first line that it rhymes with."""
-    ends = F.transform(text.lines(F.col("text")), lambda x: text.rime(F.regexp_extract(F.lower(x), r"([a-zà-öø-ÿß']+)[^a-zà-öø-ÿß']*$", 1)))
-    d = table(spark, sf_dir, "documents").select("doc_id", ends.alias("r"))
-    return d.select("doc_id", F.size("r").alias("n_lines"), F.array_join(F.transform("r", lambda x: F.when(x == "", "-").otherwise(F.array_position("r", x).cast("string"))), " ").alias("scheme"))
+    return text.rhyme_schemes(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 @query("""WITH w AS (SELECT doc_id, list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), lambda x: list_transform(regexp_extract_all(lower(x), '[a-zà-öø-ÿß'']+'), lambda y: regexp_extract(y, '([aeiouyà-öø-ÿ]+[^aeiouyà-öø-ÿ]*)$', 1))) AS l FROM documents)
