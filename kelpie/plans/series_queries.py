@@ -256,10 +256,11 @@ def key_from_profile(spark, sf_dir):
 d AS (SELECT user_id, (pc - tonic + 12) % 12 AS deg, value FROM e JOIN t USING (user_id))
 SELECT user_id, round(sum(value) FILTER (deg IN (0, 2, 4, 5, 7, 9, 11)) / sum(value), 6) AS diatonic_share, arg_max(deg, (v, -deg))::INT AS top_degree FROM (SELECT user_id, deg, value, sum(value) OVER (PARTITION BY user_id, deg) AS v FROM d) GROUP BY user_id""")
 def degrees_diatonic(spark, sf_dir):
+    """Share of the notes of the major scale on the loudest pitch class. Sums are compared to nine places: which of two equal ones is larger must not hang on the order of addition."""
     g = table(spark, sf_dir, "events").groupBy("user_id", F.pmod("event_id", F.lit(12)).cast("int").alias("pc")).agg(F.sum("value").alias("v"))
-    t = g.groupBy("user_id").agg(F.max_by("pc", F.struct("v", (-F.col("pc")).alias("m"))).alias("tonic"))
+    t = g.groupBy("user_id").agg(F.max_by("pc", F.struct(F.round("v", 9).alias("v"), (-F.col("pc")).alias("m"))).alias("tonic"))
     d = g.join(t, "user_id").withColumn("deg", F.pmod(F.col("pc") - F.col("tonic"), F.lit(12)))
-    return d.groupBy("user_id").agg(F.round(F.sum(F.when(F.col("deg").isin(0, 2, 4, 5, 7, 9, 11), F.col("v"))) / F.sum("v"), 6).alias("diatonic_share"), F.max_by("deg", F.struct("v", (-F.col("deg")).alias("m"))).cast("int").alias("top_degree"))
+    return d.groupBy("user_id").agg(F.round(F.sum(F.when(F.col("deg").isin(0, 2, 4, 5, 7, 9, 11), F.col("v"))) / F.sum("v"), 6).alias("diatonic_share"), F.max_by("deg", F.struct(F.round("v", 9).alias("v"), (-F.col("deg")).alias("m"))).cast("int").alias("top_degree"))
 
 
 @query("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
